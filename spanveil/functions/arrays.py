@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # A fold that appends copies what it has gathered so far.  Working in blocks
 # bounds the copy to one block, so a text with 100,000 matches stays cheap.
-BLOCK = 256
+BLOCK = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -65,3 +65,12 @@ def fold_array(
         block,
         lambda s: F.struct(s["carry"].alias("carry"), F.flatten(s["blocks"]).alias("out")),
     )
+
+
+def running_total(numbers: Column) -> Column:
+    """Inclusive running sum of an ``array<int>``."""
+    def step(total: Column, number: Column) -> tuple[Column, Column]:
+        following = total + number
+        return F.array(following), following
+
+    return let(numbers, lambda n: fold_array(n, F.lit(0), step, "int")["out"])

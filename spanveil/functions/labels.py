@@ -59,17 +59,37 @@ def audit_message(line_no: Column, entity: Column, match: Column, score: Column)
     return F.concat(prefix, F.coalesce(found, F.lit("Clean")))
 
 
+def _whole(text: Column) -> Column:
+    """Text of a signed whole number, blanks around and single underscores inside allowed."""
+    number = F.regexp_replace(text, r"[\s_]", "").try_cast("int")
+    return F.when(text.rlike(r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*$"), number)
+
+
+def _clean(numbers: Column) -> Column:
+    kept = F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n > 0)))
+    return F.coalesce(kept, F.array().cast("array<int>"))
+
+
 def clean_line_numbers(values: Column) -> Column:
-    """Positive whole numbers, distinct and sorted; anything else is dropped.
+    """Positive whole numbers, distinct and sorted, from an array of strings.
 
-    Takes an array of strings; null arrays become empty ones.
+    Anything else is dropped; a null array becomes an empty one.
     """
-    # Only a plain signed number counts: '2.5' and 'x' are dropped, ' 2 ' is kept.
-    numbers = F.transform(
-        values, lambda v: F.when(v.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(v).try_cast("int"))
-    )
-    kept = F.filter(numbers, lambda n: n > 0)
-    return F.coalesce(F.array_sort(F.array_distinct(kept)), F.array().cast("array<int>"))
+    return _clean(F.transform(values, _whole))
+
+
+def clean_variant_numbers(values: Column) -> Column:
+    """The same for an ``array<variant>``: fractions are cut off, true counts as 1."""
+    def number(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        text = F.try_variant_get(value, "$", "string")
+        return (
+            F.when(kind.rlike("^(?:DECIMAL|DOUBLE|FLOAT)"), text.try_cast("double").try_cast("int"))
+            .when(kind == "BOOLEAN", (text == "true").cast("int"))
+            .otherwise(_whole(text))
+        )
+
+    return _clean(F.transform(values, number))
 
 
 def line_label(line_numbers: Column) -> Column:

@@ -10,10 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import BLOCK, empty_array, fold_array, let
+from spanveil.functions.arrays import empty_array, fold_array, let, running_total
 
 SPAN = "struct<entity:string,start:int,end:int,score:double,rule:string,match:string>"
-_HIT = "struct<start:int,end:int,match:string>"
+SPLICE_BLOCK = 256
+
+
+def gap_regex(pattern: str, prefix: str = "") -> str:
+    """Group 1 is the gap before a match, group 2 the match; pieces leave no hole."""
+    return f"(?s)\\G(.*?{prefix})({pattern})"
 
 
 def regex_spans(text: Column, pattern: str, prefix: str = "") -> Column:
@@ -22,20 +27,22 @@ def regex_spans(text: Column, pattern: str, prefix: str = "") -> Column:
     ``\\G`` ties each search to the end of the one before, so each match comes with
     the gap in front of it and the offsets are a running sum of lengths.
     """
-    regex = f"(?s)\\G(.*?{prefix})({pattern})"
-    pieces = F.zip_with(
-        F.regexp_extract_all(text, F.lit(regex), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(regex), F.lit(2)),
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("match")),
+    regex = F.lit(gap_regex(pattern, prefix))
+    found = F.struct(
+        F.regexp_extract_all(text, regex, F.lit(2)).alias("hits"),
+        F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length).alias("steps"),
     )
 
-    def step(position: Column, piece: Column) -> tuple[Column, Column]:
-        start = position + piece["gap"]
-        end = start + F.length(piece["match"])
-        hit = F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match"))
-        return F.array(hit), end
+    def place(f: Column) -> Column:
+        return F.zip_with(
+            f["hits"],
+            running_total(f["steps"]),
+            lambda hit, end: F.struct(
+                (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("match")
+            ),
+        )
 
-    return let(pieces, lambda p: fold_array(p, F.lit(0), step, _HIT)["out"])
+    return let(found, place)
 
 
 def span_text(text: Column, span: Column) -> Column:
@@ -127,8 +134,8 @@ def splice(text: Column, spans: Column, render: Callable[[Column, Column], Colum
         return F.when(index > 0, F.get(all_spans, index - 1)["end"]).otherwise(F.lit(0))
 
     def block(all_spans: Column, number: Column) -> Column:
-        part = F.slice(all_spans, number * BLOCK + 1, F.lit(BLOCK))
-        low = previous_end(all_spans, number * BLOCK)
+        part = F.slice(all_spans, number * SPLICE_BLOCK + 1, F.lit(SPLICE_BLOCK))
+        low = previous_end(all_spans, number * SPLICE_BLOCK)
         bound = F.struct(part.alias("part"), low.alias("low"))
 
         def stretch(b: Column) -> Column:
@@ -153,7 +160,7 @@ def splice(text: Column, spans: Column, render: Callable[[Column, Column], Colum
         return let(let(bound, stretch), rendered)
 
     def whole(all_spans: Column) -> Column:
-        last = F.floor((F.size(all_spans) - 1) / BLOCK).cast("int")
+        last = F.floor((F.size(all_spans) - 1) / SPLICE_BLOCK).cast("int")
         body = F.array_join(
             F.transform(F.sequence(F.lit(0), last), lambda n: block(all_spans, n)), ""
         )

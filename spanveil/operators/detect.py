@@ -14,8 +14,12 @@ from spanveil.functions.labels import percent
 from spanveil.functions.lines import explode_lines, is_nonblank, split_lines
 from spanveil.functions.spans import SPAN, regex_spans, sort_spans, span_lines
 from spanveil.functions.validators import VALIDATORS
+from spanveil.operators.joins import lookup_join
 from spanveil.operators.rules import Rule, looks_around
 
+LINE_FINDING = (
+    "struct<line_no:int,entity:string,start:int,end:int,score:double,rule:string,match:string>"
+)
 FINDING_COLUMNS = ("line_no", "entity", "start", "end", "score", "confidence", "match", "rule")
 
 
@@ -85,6 +89,7 @@ def line_findings(text: Column, rules: Iterable[Rule], lang: Column | None = Non
     """Findings of a whole document, line by line, as one array of
     ``struct<line_no, entity, start, end, score, rule, match>``."""
     rules = line_rules(rules)
+    none = empty_array(LINE_FINDING)
 
     def of_line(line: Column, index: Column) -> Column:
         spans = F.transform(
@@ -95,16 +100,14 @@ def line_findings(text: Column, rules: Iterable[Rule], lang: Column | None = Non
                 s["rule"].alias("rule"), s["match"].alias("match"),
             ),
         )
-        kind = ("struct<line_no:int,entity:string,start:int,end:int,score:double,"
-                "rule:string,match:string>")
-        return F.when(any_match(line, rules, lang), spans).otherwise(empty_array(kind))
+        return F.when(
+            is_nonblank(line) & any_match(line, rules, lang), spans
+        ).otherwise(none)
 
     found = F.flatten(F.transform(split_lines(text), of_line))
-    kind = ("struct<line_no:int,entity:string,start:int,end:int,score:double,"
-            "rule:string,match:string>")
     if any(looks_around(rule) for rule in rules):
-        return F.coalesce(found, empty_array(kind))
-    return F.when(any_match(text, rules, lang), found).otherwise(empty_array(kind))
+        return F.coalesce(found, none)
+    return F.when(any_match(text, rules, lang), found).otherwise(none)
 
 
 def line_rules(rules: Iterable[Rule]) -> list[Rule]:
@@ -168,16 +171,11 @@ def scan(
     return rows.select(*keys, *FINDING_COLUMNS)
 
 
-def allowed(findings: DataFrame, allow_list: DataFrame, on: list[str]) -> DataFrame:
-    """Findings whose keys stand on the allow-list (many tenants, one scan).
-
-    The list is de-duplicated and sent to every executor only when it is small;
-    otherwise both sides are spread by the full key.
-    """
-    from spanveil.session import broadcast_if_small
-
-    wanted = allow_list.select(*on).distinct()
-    return findings.join(broadcast_if_small(wanted), on, "left_semi")
+def allowed(
+    findings: DataFrame, allow_list: DataFrame, on: list[str], spread_by: list[str]
+) -> DataFrame:
+    """Findings whose keys stand on the allow-list (many tenants, one scan)."""
+    return lookup_join(findings, allow_list.select(*on).distinct(), on, "left_semi", spread_by)
 
 
 def above(findings: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
