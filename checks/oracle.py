@@ -200,8 +200,8 @@ def terms_in_lines(source: str, dictionary: str, keys: str = "doc_id") -> str:
     tok AS (SELECT {keys}, line_no, line, regexp_extract_all(line, {gap}, 2) AS w,
               list_transform(regexp_extract_all(line, {gap}, 0), lambda x: length(x)) AS steps
             FROM ln),
-    at AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM tok),
-    run AS (SELECT *, unnest(range(1, 4)) AS n FROM at),
+    pos AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM tok),
+    run AS (SELECT *, unnest(range(1, 4)) AS n FROM pos),
     cand AS (SELECT {keys}, line_no, line, lower(array_to_string(w[i:i + n - 1], ' ')) AS term,
         list_sum(steps[1:i]) - length(w[i]) AS "start", list_sum(steps[1:i + n - 1]) AS "end"
       FROM run WHERE i + n - 1 <= len(w)),

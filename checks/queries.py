@@ -67,9 +67,9 @@ ALL = only(catalog(), *{rule.entity for rule in catalog()})
 LINE_RULES = detect.line_rules(ALL)
 DEFAULT = O.default_rules(catalog())
 DEFAULT_INCLUSIVE = O.default_rules(catalog(), inclusive=True)
-SHOUT = Rule("SHOUTED_WORD", "Shouted word", CUSTOM, "[A-Z]{5,40}", bounded=True, score=0.55)
-FRENCH = Rule("FRENCH_ARTICLE", "French article", CUSTOM, "(?:les|des|aux)", bounded=True,
-              score=0.9, lang="fr", hint="les\ndes\naux")
+SHOUT = Rule("SHOUTED_WORD", "Shouted word", CUSTOM, "[A-Z]{5,40}", score=0.55)
+FRENCH = Rule("FRENCH_ARTICLE", "French article", CUSTOM, " (?:les|des|aux) ",
+              score=0.9, lang="fr", hint="les \ndes \naux ")
 SPANS = "doc_id, " + O.FINDING
 DOCS = "SELECT doc_id, source, lang, text FROM documents"
 
@@ -377,7 +377,7 @@ def policy_edits(spark, sf_dir):
     WITH src AS ({I.SETTINGS}),
     v AS (SELECT tenant, CASE WHEN json_valid(settings) AND settings LIKE '{{%' THEN settings
             ELSE '{{}}' END AS s FROM src)
-    SELECT tenant, 'en' AS language,
+    SELECT tenant, coalesce(json_extract_string(s, '$.language'), 'en') AS language,
       coalesce(CAST(json_extract(s, '$.confidence_threshold') AS DOUBLE), 0.5) AS confidence_threshold,
       true AS scan_enabled,
       coalesce(CAST(json_extract(s, '$.keep_history') AS VARCHAR) = 'true', true) AS keep_history,
@@ -653,11 +653,11 @@ def history_view(spark, sf_dir):
 
 
 _HISTORY_TEXTS = f"""
-    SELECT user_id, CASE WHEN max(value) > 99.9 THEN '{{"not": "a list"}}' ELSE
+    SELECT user_id, CASE WHEN max(value) > 200 THEN '{{"not": "a list"}}' ELSE
       concat('[', array_join(array_sort(collect_list(element)), ','), ']') END AS history
     FROM (SELECT user_id, value, {I.HISTORY_ELEMENT} AS element FROM events) GROUP BY user_id
     UNION ALL SELECT -1 - c_custkey, c_name FROM customer"""
-_LISTS = "SELECT user_id FROM events GROUP BY user_id HAVING max(value) <= 99.9"
+_LISTS = "SELECT user_id FROM events GROUP BY user_id HAVING max(value) <= 200"
 
 
 @check("parsed_redactions", f"""

@@ -21,28 +21,33 @@ def gap_regex(pattern: str, prefix: str = "") -> str:
     return f"(?s)\\G(.*?{prefix})({pattern})"
 
 
-def regex_spans(text: Column, pattern: str, prefix: str = "") -> Column:
-    """Every match of ``pattern`` as ``array<struct<start,end,match>>``.
+def regex_pieces(text: Column, pattern: str, prefix: str = "") -> Column:
+    """``struct<hits, pieces>``: the matches, and each with the gap in front of it.
 
-    ``\\G`` ties each search to the end of the one before, so each match comes with
-    the gap in front of it and the offsets are a running sum of lengths.
+    ``\\G`` ties each search to the end of the one before, so the pieces follow on
+    from each other and offsets are a running sum of their lengths.
     """
     regex = F.lit(gap_regex(pattern, prefix))
-    found = F.struct(
+    return F.struct(
         F.regexp_extract_all(text, regex, F.lit(2)).alias("hits"),
-        F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length).alias("steps"),
+        F.regexp_extract_all(text, regex, F.lit(0)).alias("pieces"),
     )
 
-    def place(f: Column) -> Column:
-        return F.zip_with(
-            f["hits"],
-            running_total(f["steps"]),
-            lambda hit, end: F.struct(
-                (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("match")
-            ),
-        )
 
-    return let(found, place)
+def place_pieces(found: Column) -> Column:
+    """``regex_pieces`` (a bound variable) to ``array<struct<start,end,match>>``."""
+    return F.zip_with(
+        found["hits"],
+        running_total(F.transform(found["pieces"], F.length)),
+        lambda hit, end: F.struct(
+            (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("match")
+        ),
+    )
+
+
+def regex_spans(text: Column, pattern: str, prefix: str = "") -> Column:
+    """Every match of ``pattern`` as ``array<struct<start,end,match>>``."""
+    return let(regex_pieces(text, pattern, prefix), place_pieces)
 
 
 def span_text(text: Column, span: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from spanveil.functions.arrays import empty_array, let
 from spanveil.functions.labels import percent
 from spanveil.functions.lines import explode_lines, is_nonblank, split_lines
-from spanveil.functions.spans import SPAN, regex_spans, sort_spans, span_lines
+from spanveil.functions.spans import SPAN, place_pieces, regex_pieces, sort_spans, span_lines
 from spanveil.functions.validators import VALIDATORS
 from spanveil.operators.joins import lookup_join
 from spanveil.operators.rules import Rule, looks_around
@@ -23,66 +24,104 @@ LINE_FINDING = (
 FINDING_COLUMNS = ("line_no", "entity", "start", "end", "score", "confidence", "match", "rule")
 
 
-def _first_look(text: Column, rule: Rule) -> Column | None:
-    """Byte search for a literal, or one short pattern; far cheaper than the rule."""
-    if rule.hints():
-        return reduce(or_, [text.contains(literal) for literal in rule.hints()])
-    if rule.hint_regex:
-        return text.rlike(rule.hint_regex)
-    return None
+_WORD_HINT = re.compile(r"[A-Za-z0-9_. -]{2,}")
 
 
-def _matches(text: Column, rule: Rule, lang: Column | None) -> Column:
-    tests = [text.rlike("(?s)" + rule.prefix_regex() + rule.value_regex())]
-    if rule.lang is not None and lang is not None:
-        tests.insert(0, lang == rule.lang)
-    return reduce(and_, tests)
+def _group(rule: Rule) -> tuple:
+    """Rules asked together: those with rare literals, else those with the same hint."""
+    if rule.hint and all(_WORD_HINT.match(h) for h in rule.hints()):
+        return ("words",)
+    return (rule.hint, rule.hint_regex)
 
 
-def any_match(text: Column, rules: Iterable[Rule], lang: Column | None = None) -> Column:
-    """Whether some rule matches (validators aside).
+def _regex(rule: Rule) -> str:
+    return rule.prefix_regex() + rule.value_regex()
 
-    Rules that share a first look are asked together behind it: one long alternation
-    of all patterns costs several times as much.
+
+def _look(text: Column, rules: list[Rule]) -> Column | None:
+    """Byte search for literals, or one short pattern; far cheaper than the rules."""
+    literals = list(dict.fromkeys(h for rule in rules for h in rule.hints()))
+    if literals:
+        return reduce(or_, [text.contains(literal) for literal in literals])
+    return text.rlike(rules[0].hint_regex) if rules[0].hint_regex else None
+
+
+def _in_language(test: Column, rule: Rule, lang: Column | None) -> Column:
+    return (lang == rule.lang) & test if rule.lang is not None and lang is not None else test
+
+
+def any_match(text: Column, rules: Iterable[Rule]) -> Column:
+    """Whether some rule matches (validators and languages aside).
+
+    Rules are grouped behind a shared first look, so the alternation of a group's
+    patterns runs only where one of its hints stands; one alternation of all patterns
+    costs several times as much.
     """
     groups: dict[tuple, list[Rule]] = {}
     for rule in rules:
-        groups.setdefault((rule.hint, rule.hint_regex), []).append(rule)
+        groups.setdefault(_group(rule), []).append(rule)
     tests = []
     for members in groups.values():
-        found = reduce(or_, [_matches(text, rule, lang) for rule in members])
-        look = _first_look(text, members[0])
+        found = text.rlike("(?s)" + "|".join(f"(?:{_regex(rule)})" for rule in members))
+        look = _look(text, members)
         tests.append(found if look is None else look & found)
     return reduce(or_, tests) if tests else F.lit(False)
 
 
-def rule_spans(text: Column, rule: Rule, lang: Column | None = None) -> Column:
-    """Spans of one rule, checked by its validator."""
-    spans = F.transform(
-        regex_spans(text, rule.value_regex(), rule.prefix_regex()),
-        lambda s: F.struct(
+def _rule_pieces(text: Column, rule: Rule, lang: Column | None) -> Column:
+    """What one rule matched, or null; its pattern stays a literal and is compiled once."""
+    look = _look(text, [rule])
+    found = text.rlike("(?s)" + _regex(rule))
+    test = _in_language(found if look is None else look & found, rule, lang)
+    return F.when(
+        test,
+        F.struct(
             F.lit(rule.entity).alias("entity"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
             F.lit(float(rule.score)).alias("score"),
             F.lit(rule.name).alias("rule"),
-            s["match"].alias("match"),
+            regex_pieces(text, rule.value_regex(), rule.prefix_regex()).alias("found"),
         ),
     )
-    if rule.validator:
-        passes = VALIDATORS[rule.validator]
-        spans = F.filter(spans, lambda s: passes(s["match"]))
-    look = _first_look(text, rule)
-    test = _matches(text, rule, lang)
-    return F.when(test if look is None else look & test, spans).otherwise(empty_array(SPAN))
+
+
+def _valid(span: Column, rules: list[Rule]) -> Column:
+    """Whether the span passes the check its rule names."""
+    checked: dict[str, list[str]] = {}
+    for rule in rules:
+        if rule.validator:
+            checked.setdefault(rule.validator, []).append(rule.name)
+    test = F.lit(True)
+    for validator, names in checked.items():
+        test = F.when(span["rule"].isin(names), VALIDATORS[validator](span["match"])).otherwise(
+            test
+        )
+    return test
 
 
 def detect_spans(text: Column, rules: Iterable[Rule], lang: Column | None = None) -> Column:
-    """All spans of all rules in one text, in position order; empty for null text."""
-    parts = [rule_spans(text, rule, lang) for rule in rules]
-    if not parts:
+    """All spans of all rules in one text, in position order; empty for null text.
+
+    Only the extraction is spelled out per rule; placing, checking and sorting are said
+    once for all of them, which keeps the plan short.
+    """
+    rules = list(rules)
+    if not rules:
         return empty_array(SPAN)
-    return sort_spans(F.concat(*parts))
+
+    def spans_of(one: Column) -> Column:
+        return F.transform(
+            place_pieces(one["found"]),
+            lambda s: F.struct(
+                one["entity"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"),
+                one["score"].alias("score"), one["rule"].alias("rule"), s["match"].alias("match"),
+            ),
+        )
+
+    per_rule = F.array(*[_rule_pieces(text, rule, lang) for rule in rules])
+    spans = F.flatten(F.transform(F.array_compact(per_rule), spans_of))
+    if any(rule.validator for rule in rules):
+        spans = F.filter(spans, lambda s: _valid(s, rules))
+    return sort_spans(spans)
 
 
 def line_findings(text: Column, rules: Iterable[Rule], lang: Column | None = None) -> Column:
@@ -101,13 +140,13 @@ def line_findings(text: Column, rules: Iterable[Rule], lang: Column | None = Non
             ),
         )
         return F.when(
-            is_nonblank(line) & any_match(line, rules, lang), spans
+            is_nonblank(line) & any_match(line, rules), spans
         ).otherwise(none)
 
     found = F.flatten(F.transform(split_lines(text), of_line))
     if any(looks_around(rule) for rule in rules):
         return F.coalesce(found, none)
-    return F.when(any_match(text, rules, lang), found).otherwise(none)
+    return F.when(any_match(text, rules), found).otherwise(none)
 
 
 def line_rules(rules: Iterable[Rule]) -> list[Rule]:
@@ -116,18 +155,17 @@ def line_rules(rules: Iterable[Rule]) -> list[Rule]:
 
 
 def hit_lines(
-    docs: DataFrame, rules: Iterable[Rule], text: str = "text", lang: str | None = None
+    docs: DataFrame, rules: Iterable[Rule], text: str = "text"
 ) -> DataFrame:
     """Numbered non-blank lines on which some rule may match.
 
     Texts without any match are dropped before they are split.
     """
     rules = line_rules(rules)
-    lang_col = F.col(lang) if lang else None
     if not any(looks_around(rule) for rule in rules):
-        docs = docs.filter(any_match(F.col(text), rules, lang_col))
+        docs = docs.filter(any_match(F.col(text), rules))
     lines = explode_lines(docs, text, skip_blank=True)
-    return lines.filter(any_match(F.col("line"), rules, lang_col))
+    return lines.filter(any_match(F.col("line"), rules))
 
 
 def scan(
@@ -146,7 +184,7 @@ def scan(
     keys = [c for c in docs.columns if c != text]
     lang_col = F.col(lang) if lang else None
     if unit == "line":
-        rows = hit_lines(docs, rules, text, lang).select(
+        rows = hit_lines(docs, rules, text).select(
             *keys, "line_no", F.inline(detect_spans(F.col("line"), line_rules(rules), lang_col))
         )
     elif unit == "document":
@@ -163,7 +201,7 @@ def scan(
             ),
         )
         rows = docs.filter(
-            is_nonblank(F.col(text)) & any_match(F.col(text), rules, lang_col)
+            is_nonblank(F.col(text)) & any_match(F.col(text), rules)
         ).select(*keys, F.inline(numbered))
     else:
         raise ValueError(f"unknown unit {unit!r}")

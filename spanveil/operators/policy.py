@@ -133,10 +133,10 @@ def entity_of(category: Column, name: Column) -> Column:
 
 def policy_rows(settings: DataFrame, *keys: str) -> DataFrame:
     """One row per tenant and switch: keys, category, name, entity, enabled."""
-    one = [
-        F.transform_keys(F.col(part), lambda k, v, c=category: F.concat(F.lit(c + "\n"), k))
-        for category, part in CATEGORIES.items()
-    ]
+    def tagged(category: str, part: str) -> Column:
+        return F.transform_keys(F.col(part), lambda k, v: F.concat(F.lit(category + "\n"), k))
+
+    one = [tagged(category, part) for category, part in CATEGORIES.items()]
     rows = settings.select(*keys, F.explode(F.map_concat(*one)).alias("_key", "enabled"))
     parts = F.split("_key", "\n", 2)
     rows = rows.select(*keys, parts.getItem(0).alias("category"), parts.getItem(1).alias("name"),

@@ -59,7 +59,7 @@ def redact(
     rules = with_threshold(rules, threshold)
     source = F.col(text)
     lang_col = F.col(lang) if lang else None
-    spans = F.when(any_match(source, rules, lang_col), detect_spans(source, rules, lang_col))
+    spans = F.when(any_match(source, rules), detect_spans(source, rules, lang_col))
     found = docs.withColumn("_spans", F.coalesce(spans, empty_array(SPAN)))
     some = F.size("_spans") > 0
     no_lines = empty_array("int")

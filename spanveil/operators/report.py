@@ -37,7 +37,7 @@ def sensitive_lines(
             empty_array(kind)
         ),
     )
-    rows = hit_lines(docs, rules, text, lang).select(*keys, "line_no", "line", F.inline(found))
+    rows = hit_lines(docs, rules, text).select(*keys, "line_no", "line", F.inline(found))
     return rows.select(
         *keys, "line_no", "types", "line",
         sensitive_line_message(F.col("line_no"), F.col("types"), F.col("line")).alias("message"),

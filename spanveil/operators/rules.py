@@ -100,18 +100,21 @@ _CREDENTIAL_HINTS = {
     "STRIPE": "k_test_\nk_live_",
     "SLACK": "xox",
     "MONGODB_URI": "mongodb",
-    "SUPABASE_JWT": "ey",
 }
+# Two letters stand in too many texts to be a first look; this run does not.
+_JWT_HINT = "ey[A-Za-z0-9_-]{30}"
 
 _DIGITS = r"[0-9]{3}|[0-9]\."
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _HEX4 = "[0-9A-Fa-f]{1,4}"
+_COLONS = ":[0-9A-Fa-f]{0,4}:"
 
 
 def credential_rules() -> list[Rule]:
     return [
         Rule(entity, name, CREDENTIAL, shape, enabled=V.CREDENTIAL_DEFAULTS[name],
-             hint=_CREDENTIAL_HINTS[entity])
+             hint=_CREDENTIAL_HINTS.get(entity),
+             hint_regex=None if entity in _CREDENTIAL_HINTS else _JWT_HINT)
         for name, (entity, shape) in V.CREDENTIALS.items()
     ]
 
@@ -145,7 +148,7 @@ def pii_rules() -> list[Rule]:
              name="IP_ADDRESS v4", hint_regex=_DIGITS),
         _pii("IP_ADDRESS",
              rf"(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}",
-             bounded=True, score=0.95, name="IP_ADDRESS v6", hint=":"),
+             bounded=True, score=0.95, name="IP_ADDRESS v6", hint_regex=_COLONS),
         _pii("URL",
              r"""https?://(?:[^\s/?#@<>"']{1,256}@)?[A-Za-z0-9][A-Za-z0-9.-]{0,252}"""
              r"""(?::[0-9]{1,5})?(?:[/?#](?:[^\s<>"']*[^\s<>"'.,;:!?)\]])?)?""",
@@ -170,7 +173,7 @@ def extra_rules() -> list[Rule]:
              prefix=r"""(?:api_key|token|password|secret) {0,4}[=:] {0,4}["']""",
              score=0.7, ignore_case=True, hint_regex="[=:] {0,4}[\"']"),
         Rule("MAC_ADDRESS", "MAC address", EXTRA, "(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}",
-             bounded=True, score=0.8, hint=":"),
+             bounded=True, score=0.8, hint_regex=_COLONS),
         Rule("US_ROUTING_NUMBER", "US bank routing number", EXTRA, r"[0-9]{9}\b",
              prefix="routing number:? ", ignore_case=True, validator="aba", score=0.8,
              hint_regex=_DIGITS),

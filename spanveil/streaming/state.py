@@ -33,15 +33,15 @@ class LastValue(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values([self.time, self.tie])
-        before = batch["_now"].shift()
+        before = batch["now_digest"].shift()
         known = self.last.exists()
         if known:
             before.iloc[0] = self.last.get()[0]
-        changed = batch["_now"] != before
+        changed = batch["now_digest"] != before
         if not known:
             changed.iloc[0] = self.emit_first
-        self.last.update((batch["_now"].iloc[-1],))
-        yield batch[changed].drop(columns="_now")
+        self.last.update((batch["now_digest"].iloc[-1],))
+        yield batch[changed].drop(columns="now_digest")
 
     def close(self) -> None:
         pass
@@ -51,7 +51,7 @@ def changed_rows(
     stream: DataFrame, by: str, time: str, tie: str, value: str, emit_first: bool = False
 ) -> DataFrame:
     """The streaming form of ``operators.changes.changes``."""
-    rows = stream.filter(F.col(value).isNotNull()).withColumn("_now", F.sha2(value, 256))
+    rows = stream.filter(F.col(value).isNotNull()).withColumn("now_digest", F.sha2(value, 256))
     return rows.groupBy(by).transformWithStateInPandas(
         statefulProcessor=LastValue(time, tie, emit_first),
         outputStructType=stream.schema,
@@ -72,15 +72,15 @@ class PauseUntil(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         # At the same instant a pause comes before an alert, so it hides it.
-        batch = batch.sort_values(["_at", "_is_pause"], ascending=[True, False], kind="stable")
+        batch = batch.sort_values(["at_micros", "is_pause"], ascending=[True, False], kind="stable")
         carried = float(self.until.get()[0]) if self.until.exists() else float("-inf")
-        ends = (batch["_at"] + self.seconds * 1_000_000).where(batch["_is_pause"])
+        ends = (batch["at_micros"] + self.seconds * 1_000_000).where(batch["is_pause"])
         until = ends.cummax().ffill().fillna(carried).clip(lower=carried)
         last = until.iloc[-1]
         if last > float("-inf"):
             self.until.update((int(last),))
-        shown = ~batch["_is_pause"] & (batch["_at"] >= until)
-        yield batch[shown].drop(columns=["_at", "_is_pause"])
+        shown = ~batch["is_pause"] & (batch["at_micros"] >= until)
+        yield batch[shown].drop(columns=["at_micros", "is_pause"])
 
     def close(self) -> None:
         pass
@@ -91,8 +91,8 @@ def unpaused_rows(
 ) -> DataFrame:
     """Alerts not raised during a pause; pauses are a control stream of (by, time)."""
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    shown = alerts.withColumn("_at", at).withColumn("_is_pause", F.lit(False))
-    control = pauses.select(by, time).withColumn("_at", at).withColumn("_is_pause", F.lit(True))
+    shown = alerts.withColumn("at_micros", at).withColumn("is_pause", F.lit(False))
+    control = pauses.select(by, time).withColumn("at_micros", at).withColumn("is_pause", F.lit(True))
     both = shown.unionByName(control, allowMissingColumns=True)
     return both.groupBy(by).transformWithStateInPandas(
         statefulProcessor=PauseUntil(time, seconds),
