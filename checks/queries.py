@@ -59,8 +59,16 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def once(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Compute a derived text once per row: filters are not pushed below a generator, so
+    the expression that makes the text is not repeated in each of them."""
+    keys = [c for c in docs.columns if c != text]
+    return docs.select(*keys, F.explode(F.array(text)).alias(text))
+
+
 def rich(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    return table(spark, sf_dir, I.RICH, "documents").select(*(keys or ("doc_id",)), "text")
+    docs = table(spark, sf_dir, I.RICH, "documents")
+    return once(docs.select(*(keys or ("doc_id",)), "text"))
 
 
 ALL = only(catalog(), *{rule.entity for rule in catalog()})
@@ -429,7 +437,7 @@ _RED = "CASE WHEN max(confidence) <= 85 THEN 'amber' ELSE 'red' END"
     WHERE NOT EXISTS (SELECT 1 FROM ({_PAUSES}) p WHERE p.user_id = s.user_id
       AND s.ts >= p.ts AND s.ts < p.ts + INTERVAL 300 SECOND)""")
 def alerts(spark, sf_dir):
-    docs = table(spark, sf_dir, _COPIED, "events", "documents")
+    docs = once(table(spark, sf_dir, _COPIED, "events", "documents"))
     pauses = spark.sql(_PAUSES)
     out = jobs.alert_rows(docs, pauses, "user_id", "ts", ["event_id"])
     return _epoch(out)
@@ -718,13 +726,13 @@ _DICTIONARY = """
 
 @check("dictionary_findings", O.terms_in_lines(_NAMED, _DICTIONARY))
 def dictionary_findings(spark, sf_dir):
-    docs = table(spark, sf_dir, _NAMED, "documents", "customer", "nation", "supplier")
+    docs = once(table(spark, sf_dir, _NAMED, "documents", "customer", "nation", "supplier"))
     return gazetteer_detect(docs, spark.sql(_DICTIONARY), ["doc_id"])
 
 
 @check("dictionary_findings_shuffled", O.terms_in_lines(_NAMED, _DICTIONARY))
 def dictionary_findings_shuffled(spark, sf_dir):
-    docs = table(spark, sf_dir, _NAMED, "documents", "customer", "nation", "supplier")
+    docs = once(table(spark, sf_dir, _NAMED, "documents", "customer", "nation", "supplier"))
     return gazetteer_detect(docs, spark.sql(_DICTIONARY), ["doc_id"], broadcast_rows=0)
 
 

@@ -16,29 +16,29 @@ SPAN = "struct<entity:string,start:int,end:int,score:double,rule:string,match:st
 SPLICE_BLOCK = 256
 
 
-def gap_regex(pattern: str, prefix: str = "") -> str:
-    """Group 1 is the gap before a match, group 2 the match; pieces leave no hole."""
-    return f"(?s)\\G(.*?{prefix})({pattern})"
-
-
 def regex_pieces(text: Column, pattern: str, prefix: str = "") -> Column:
-    """``struct<hits, pieces>``: the matches, and each with the gap in front of it.
+    """``struct<hits, whole, gaps>``: the matches, each with its prefix, and what lies
+    between them.
 
-    ``\\G`` ties each search to the end of the one before, so the pieces follow on
-    from each other and offsets are a running sum of their lengths.
+    Extracting and splitting search alike, so gap and match take turns through the
+    text and offsets are a running sum of their lengths.
     """
-    regex = F.lit(gap_regex(pattern, prefix))
+    regex = F.lit(f"(?s){prefix}({pattern})")
+    hits = F.regexp_extract_all(text, regex, F.lit(1))
+    whole = F.regexp_extract_all(text, regex, F.lit(0)) if prefix else hits
     return F.struct(
-        F.regexp_extract_all(text, regex, F.lit(2)).alias("hits"),
-        F.regexp_extract_all(text, regex, F.lit(0)).alias("pieces"),
+        hits.alias("hits"),
+        F.transform(whole, F.length).alias("whole"),
+        F.transform(F.split(text, f"(?s){prefix}(?:{pattern})", -1), F.length).alias("gaps"),
     )
 
 
 def place_pieces(found: Column) -> Column:
     """``regex_pieces`` (a bound variable) to ``array<struct<start,end,match>>``."""
+    steps = F.transform(found["whole"], lambda size, i: F.get(found["gaps"], i) + size)
     return F.zip_with(
         found["hits"],
-        running_total(F.transform(found["pieces"], F.length)),
+        running_total(steps),
         lambda hit, end: F.struct(
             (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("match")
         ),

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import empty_array, fold_array, let, running_total
+from spanveil.functions.arrays import empty_array, fold_array, let
 from spanveil.functions.labels import percent
 from spanveil.functions.lines import explode_lines
-from spanveil.functions.spans import gap_regex
+from spanveil.functions.spans import place_pieces, regex_pieces
 from spanveil.operators.joins import SALTS, lookup_join
 from spanveil.session import BROADCAST_ROWS, is_small
 
@@ -58,13 +58,9 @@ def _runs(tokens: Column, longest: int) -> Column:
 
 def _place(line: Column, hits: Column) -> Column:
     """Hits (at, n, entity, score) of one line to spans, in position order."""
-    regex = F.lit(gap_regex(WORD))
-    bound = F.struct(
+    placed = F.struct(
         hits.alias("hits"),
-        F.transform(F.regexp_extract_all(line, regex, F.lit(2)), F.length).alias("lengths"),
-        running_total(
-            F.transform(F.regexp_extract_all(line, regex, F.lit(0)), F.length)
-        ).alias("ends"),
+        let(regex_pieces(line, WORD), place_pieces).alias("words"),
     )
 
     def spans(b: Column) -> Column:
@@ -72,15 +68,15 @@ def _place(line: Column, hits: Column) -> Column:
             F.transform(
                 b["hits"],
                 lambda h: F.struct(
-                    (F.get(b["ends"], h["at"]) - F.get(b["lengths"], h["at"])).alias("start"),
-                    (-F.get(b["ends"], h["at"] + h["n"] - 1)).alias("neg_end"),
+                    F.get(b["words"], h["at"])["start"].alias("start"),
+                    (-F.get(b["words"], h["at"] + h["n"] - 1)["end"]).alias("neg_end"),
                     h["entity"].alias("entity"),
                     h["score"].alias("score"),
                 ),
             )
         )
 
-    return let(bound, spans)
+    return let(placed, spans)
 
 
 def _longest(spans: Column) -> Column:
