@@ -28,7 +28,7 @@ from spanveil.operators.rules import CUSTOM, PII, CREDENTIAL, Rule, catalog, onl
 from spanveil.plans import jobs
 from spanveil.sources.history_store import split_redactions
 from spanveil.sources.selection import read_pointers
-from spanveil.sources.text import read_table
+from spanveil.sources.text import read_table, spread
 from spanveil.streaming import monitor as M
 from spanveil.streaming.state import changed_rows, prepare, unpaused_rows
 
@@ -36,9 +36,22 @@ TABLES = ("documents", "pages", "conversations", "events", "customer", "supplier
           "labels")
 
 
+# Tables of texts, with their key: work per row is high, so few input partitions are
+# spread over the cores.
+TEXTS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
 def load(spark: SparkSession, sf_dir: str, *tables: str) -> None:
     for name in tables or TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        rows = read_table(spark, f"{sf_dir}/{name}.parquet")
+        if name in TEXTS:
+            rows = spread(rows, *TEXTS[name])
+        rows.createOrReplaceTempView(name)
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    rows = read_table(spark, f"{sf_dir}/{name}.parquet", *columns)
+    return spread(rows, *[key for key in TEXTS[name]])
 
 
 def table(spark: SparkSession, sf_dir: str, statement: str, *tables: str) -> DataFrame:
@@ -120,7 +133,7 @@ def normalized_lines(spark, sf_dir):
 @check("findings_default_policy", f"SELECT source, lang, {SPANS} FROM ("
        + O.line_findings(DOCS, DEFAULT, "doc_id, source, lang") + ")")
 def findings_default_policy(spark, sf_dir):
-    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "source", "lang", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     return jobs.scan(docs)
 
 
@@ -156,21 +169,21 @@ def findings_document_unit(spark, sf_dir):
        + O.line_findings("SELECT page_id, url, html FROM pages", LINE_RULES, "page_id, url", "html")
        + ")")
 def findings_in_pages(spark, sf_dir):
-    pages = read_table(spark, f"{sf_dir}/pages.parquet", "page_id", "url", "html")
+    pages = texts(spark, sf_dir, "pages", "page_id", "url", "html")
     return detect.scan(pages, LINE_RULES, text="html")
 
 
 @check("findings_in_urls", f"SELECT page_id, {O.FINDING} FROM ("
        + O.line_findings("SELECT page_id, url FROM pages", only(ALL, "URL"), "page_id", "url") + ")")
 def findings_in_urls(spark, sf_dir):
-    pages = read_table(spark, f"{sf_dir}/pages.parquet", "page_id", "url")
+    pages = texts(spark, sf_dir, "pages", "page_id", "url")
     return detect.scan(pages, only(ALL, "URL"), text="url")
 
 
 @check("findings_custom_rules", f"SELECT lang, {SPANS} FROM ("
        + O.line_findings(DOCS, [SHOUT, FRENCH], "doc_id, lang") + ")")
 def findings_custom_rules(spark, sf_dir):
-    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "lang", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return detect.scan(docs, register([], SHOUT, FRENCH), lang="lang")
 
 
@@ -178,7 +191,7 @@ def findings_custom_rules(spark, sf_dir):
        + O.line_findings("SELECT doc_id, lang, text FROM documents WHERE lang = 'en'", DEFAULT,
                          "doc_id, lang") + ")")
 def findings_one_language(spark, sf_dir):
-    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "lang", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return jobs.scan(docs, lang="lang")
 
 
@@ -249,7 +262,7 @@ def scan_summary(spark, sf_dir):
       span_count IS NOT NULL AS leak
     FROM documents LEFT JOIN g USING (doc_id)""")
 def scan_summary_plain_texts(spark, sf_dir):
-    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return jobs.scan_summary(docs)
 
 
@@ -295,7 +308,7 @@ _KEEP_BREAKS = " || regexp_replace(hit, '[^\\n]+', '', 'g')"
        f"SELECT doc_id, source, text, redacted, span_count, line_numbers, redacted_text FROM "
        f"({O.redacted('SELECT doc_id, source, text FROM documents', _ON)})")
 def redacted_default_policy(spark, sf_dir):
-    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "source", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "text")
     return jobs.redacted(docs)
 
 
@@ -327,7 +340,7 @@ def redacted_dropped(spark, sf_dir):
 @check("merged_spans", 'SELECT doc_id, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) '
        f'AS "end", entity, score FROM ({O.islands(O.findings(I.RICH, "doc_id", ALL, "text"))})')
 def merged_spans(spark, sf_dir):
-    spans = detect.detect_spans(F.col("text"), ALL)
+    spans = detect.document_spans(F.col("text"), ALL)
     return rich(spark, sf_dir).select("doc_id", F.inline(merge_spans(spans)))
 
 

@@ -10,13 +10,13 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import empty_array, let
+from spanveil.functions.arrays import empty_array, let, running_total
 from spanveil.functions.labels import percent
 from spanveil.functions.lines import explode_lines, is_nonblank, split_lines
 from spanveil.functions.spans import SPAN, place_pieces, regex_pieces, sort_spans, span_lines
 from spanveil.functions.validators import VALIDATORS
 from spanveil.operators.joins import lookup_join
-from spanveil.operators.rules import Rule, looks_around
+from spanveil.operators.rules import Rule, looks_around, may_cross_lines
 
 LINE_FINDING = (
     "struct<line_no:int,entity:string,start:int,end:int,score:double,rule:string,match:string>"
@@ -124,6 +124,45 @@ def detect_spans(text: Column, rules: Iterable[Rule], lang: Column | None = None
     return sort_spans(spans)
 
 
+def document_spans(text: Column, rules: Iterable[Rule], lang: Column | None = None) -> Column:
+    """``detect_spans`` for whole documents, offsets counting within the document.
+
+    Rules that cannot match a line feed are run line by line and shifted: a document
+    then pays for the rules only on the lines that hold something.
+    """
+    rules = list(rules)
+    within = [rule for rule in rules if not may_cross_lines(rule)]
+    across = [rule for rule in rules if may_cross_lines(rule)]
+    if not within:
+        return detect_spans(text, across, lang)
+
+    def shifted(line: Column, ends: Column, index: Column) -> Column:
+        start = F.get(ends, index) - F.length(line) - 1
+        spans = F.transform(
+            detect_spans(line, within, lang),
+            lambda s: F.struct(
+                s["entity"].alias("entity"), (s["start"] + start).alias("start"),
+                (s["end"] + start).alias("end"), s["score"].alias("score"),
+                s["rule"].alias("rule"), s["match"].alias("match"),
+            ),
+        )
+        return F.when(any_match(line, within), spans).otherwise(empty_array(SPAN))
+
+    def all_lines(bound: Column) -> Column:
+        return F.flatten(
+            F.transform(bound["lines"], lambda line, i: shifted(line, bound["ends"], i))
+        )
+
+    def with_ends(lines: Column) -> Column:
+        sizes = F.transform(lines, lambda line: F.length(line) + 1)
+        return F.struct(lines.alias("lines"), running_total(sizes).alias("ends"))
+
+    spans = let(let(F.split(text, "\n", -1), with_ends), all_lines)
+    if across:
+        spans = sort_spans(F.concat(spans, detect_spans(text, across, lang)))
+    return spans
+
+
 def line_findings(text: Column, rules: Iterable[Rule], lang: Column | None = None) -> Column:
     """Findings of a whole document, line by line, as one array of
     ``struct<line_no, entity, start, end, score, rule, match>``."""
@@ -189,7 +228,7 @@ def scan(
         )
     elif unit == "document":
         numbered = let(
-            detect_spans(F.col(text), rules, lang_col),
+            document_spans(F.col(text), rules, lang_col),
             lambda spans: F.zip_with(
                 spans,
                 span_lines(F.col(text), spans),

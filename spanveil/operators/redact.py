@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanveil import fixed_values as V
 from spanveil.functions.arrays import empty_array
 from spanveil.functions.spans import SPAN, affected_lines, merge_spans, splice
-from spanveil.operators.detect import any_match, detect_spans
+from spanveil.operators.detect import any_match, document_spans
 from spanveil.operators.rules import Rule, with_threshold
 
 MODES = ("placeholder", "mask", "hash", "drop")
@@ -59,7 +59,7 @@ def redact(
     rules = with_threshold(rules, threshold)
     source = F.col(text)
     lang_col = F.col(lang) if lang else None
-    spans = F.when(any_match(source, rules), detect_spans(source, rules, lang_col))
+    spans = F.when(any_match(source, rules), document_spans(source, rules, lang_col))
     found = docs.withColumn("_spans", F.coalesce(spans, empty_array(SPAN)))
     some = F.size("_spans") > 0
     no_lines = empty_array("int")

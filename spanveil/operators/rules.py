@@ -88,6 +88,21 @@ def looks_around(rule: Rule) -> bool:
     return bool(_POSITION.search(_ATOMS.sub("", rule.prefix + rule.pattern)))
 
 
+_CLASS = re.compile(r"\[(\^?)((?:\\.|[^\]\\])*)\]")
+_ANY = re.compile(r"(?<!\\)(?:\\\\)*\.|\\[sDWnrRvVHX]|\n")
+
+
+def may_cross_lines(rule: Rule) -> bool:
+    """Whether a match could hold a line feed; unsure counts as yes."""
+    text = rule.prefix + rule.pattern
+    for negated, members in _CLASS.findall(text):
+        if negated and "\\s" not in members and "\\n" not in members:
+            return True
+        if not negated and _ANY.search(members.replace(".", "")):
+            return True
+    return rule.multiline or looks_around(rule) or bool(_ANY.search(_CLASS.sub("", text)))
+
+
 # First looks for the credential shapes, in the order of the shapes.
 _CREDENTIAL_HINTS = {
     "OPENAI": "sk-",

@@ -14,6 +14,19 @@ def read_table(spark: SparkSession, path: str, *columns: str, format: str = "par
     return rows.select(*columns) if columns else rows
 
 
+def spread(docs: DataFrame, *keys: str) -> DataFrame:
+    """Give a small input enough partitions for every core.
+
+    Scanning costs far more than reading, so a table in a few files would leave most
+    cores idle.  An input that already has a partition per core is left alone, so large
+    tables are never shuffled here.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() >= cores:
+        return docs
+    return docs.repartition(2 * cores, *keys)
+
+
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file: ``doc_id`` (its path) and ``text``; blank files are left out."""
     reader = spark.read.option("wholetext", True)
