@@ -28,14 +28,16 @@ def regex_pieces(text: Column, pattern: str, prefix: str = "") -> Column:
     whole = F.regexp_extract_all(text, regex, F.lit(0)) if prefix else hits
     return F.struct(
         hits.alias("hits"),
-        F.transform(whole, F.length).alias("whole"),
-        F.transform(F.split(text, f"(?s){prefix}(?:{pattern})", -1), F.length).alias("gaps"),
+        whole.alias("whole"),
+        F.split(text, f"(?s){prefix}(?:{pattern})", -1).alias("gaps"),
     )
 
 
 def place_pieces(found: Column) -> Column:
     """``regex_pieces`` (a bound variable) to ``array<struct<start,end,match>>``."""
-    steps = F.transform(found["whole"], lambda size, i: F.get(found["gaps"], i) + size)
+    steps = F.transform(
+        found["whole"], lambda hit, i: F.length(F.get(found["gaps"], i)) + F.length(hit)
+    )
     return F.zip_with(
         found["hits"],
         running_total(steps),

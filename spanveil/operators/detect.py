@@ -244,8 +244,10 @@ def scan(
         ).select(*keys, F.inline(numbered))
     else:
         raise ValueError(f"unknown unit {unit!r}")
-    rows = rows.withColumn("confidence", percent(F.col("score")))
-    return rows.select(*keys, *FINDING_COLUMNS)
+    shown = [
+        percent(F.col("score")).alias(c) if c == "confidence" else c for c in FINDING_COLUMNS
+    ]
+    return rows.select(*keys, *shown)
 
 
 def allowed(

@@ -63,18 +63,16 @@ def redact(
     found = docs.withColumn("_spans", F.coalesce(spans, empty_array(SPAN)))
     some = F.size("_spans") > 0
     no_lines = empty_array("int")
-    return (
-        found.withColumn("redacted", some)
-        .withColumn("span_count", F.size("_spans"))
-        .withColumn(
-            "line_numbers", F.when(some, affected_lines(source, F.col("_spans"))).otherwise(no_lines)
-        )
-        .withColumn(
-            "redacted_text",
-            F.when(some, redact_spans(source, F.col("_spans"), mode, preserve_newlines))
-            .otherwise(source),
-        )
-        .drop("_spans")
+    lines = F.when(some, affected_lines(source, F.col("_spans"))).otherwise(no_lines)
+    clean = F.when(
+        some, redact_spans(source, F.col("_spans"), mode, preserve_newlines)
+    ).otherwise(source)
+    return found.select(
+        *docs.columns,
+        some.alias("redacted"),
+        F.size("_spans").alias("span_count"),
+        lines.alias("line_numbers"),
+        clean.alias("redacted_text"),
     )
 
 
