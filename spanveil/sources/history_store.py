@@ -42,7 +42,7 @@ def clear(spark: SparkSession, path: str, schema: str) -> None:
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:
     """JSON history files, one row each (``owner`` is the path); no files, no rows."""
     try:
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -15,7 +15,7 @@ def load_settings(spark: SparkSession, path: str) -> DataFrame:
     No file gives no rows; ``Policy()`` holds the defaults.
     """
     try:
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

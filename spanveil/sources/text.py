@@ -29,10 +29,10 @@ def spread(docs: DataFrame, *keys: str) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file: ``doc_id`` (its path) and ``text``; blank files are left out."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(path).select(
+    files = reader.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")
     )
     return files.filter(is_nonblank(F.col("text")))
