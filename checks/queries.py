@@ -445,7 +445,7 @@ _RED = "CASE WHEN max(confidence) <= 85 THEN 'amber' ELSE 'red' END"
         || {_ENTITY_LABEL} || ' (' || confidence || '%)', chr(10)
         ORDER BY line_no, "start", "end", entity) AS body
       FROM f GROUP BY event_id)
-    SELECT s.event_id, s.user_id, epoch_us(s.ts) AS at, span_count, types, severity, body
+    SELECT s.event_id, s.user_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S.%f') AS at, span_count, types, severity, body
     FROM src s JOIN g USING (event_id)
     WHERE NOT EXISTS (SELECT 1 FROM ({_PAUSES}) p WHERE p.user_id = s.user_id
       AND s.ts >= p.ts AND s.ts < p.ts + INTERVAL 300 SECOND)""")
@@ -453,29 +453,27 @@ def alerts(spark, sf_dir):
     docs = once(table(spark, sf_dir, _COPIED, "events", "documents"))
     pauses = spark.sql(_PAUSES)
     out = jobs.alert_rows(docs, pauses, "user_id", "ts", ["event_id"])
-    return _epoch(out)
+    return _clock(out)
 
 
-def _epoch(df: DataFrame) -> DataFrame:
-    """The test clock has no zone; its wall time is read as UTC on both sides."""
-    at = F.unix_micros(F.from_utc_timestamp(F.to_utc_timestamp(
-        F.col("ts").cast("timestamp"), F.current_timezone()), "UTC"))
-    return df.withColumn("at", at).drop("ts")
+def _clock(df: DataFrame) -> DataFrame:
+    """The test clock has no zone: its wall time is compared, as text."""
+    return df.withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).drop("ts")
 
 
 @check("events_outside_pauses", f"""
-    SELECT e.event_id, e.user_id, e.event_type, epoch_us(e.ts) AS at FROM events e
+    SELECT e.event_id, e.user_id, e.event_type, strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events e
     WHERE NOT EXISTS (SELECT 1 FROM ({_PAUSES}) p WHERE p.user_id = e.user_id
       AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 300 SECOND)""")
 def events_outside_pauses(spark, sf_dir):
     rows = table(spark, sf_dir, "select event_id, user_id, event_type, ts from events", "events")
-    return _epoch(A.suppress_paused(rows, spark.sql(_PAUSES), "user_id", "ts", ["event_id"]))
+    return _clock(A.suppress_paused(rows, spark.sql(_PAUSES), "user_id", "ts", ["event_id"]))
 
 
 # --- changes and history -------------------------------------------------------------
 
 _CHANGED = """
-    SELECT event_id, user_id, event_type, epoch_us(ts) AS at FROM (
+    SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM (
       SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
       FROM events) WHERE before IS NOT NULL AND before <> event_type"""
 
@@ -483,7 +481,7 @@ _CHANGED = """
 @check("changed_values", _CHANGED)
 def changed_values(spark, sf_dir):
     rows = table(spark, sf_dir, "select event_id, user_id, event_type, ts from events", "events")
-    return _epoch(changes(rows, "user_id", "ts", "event_id", "event_type"))
+    return _clock(changes(rows, "user_id", "ts", "event_id", "event_type"))
 
 
 @check("changed_turns", """
@@ -502,26 +500,26 @@ _RECORDS = """
 
 
 @check("newest_records", """
-    SELECT user_id, event_id, epoch_us(ts) AS at FROM events
+    SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 25""")
 def newest_records(spark, sf_dir):
     rows = table(spark, sf_dir, "select user_id, event_id, ts from events", "events")
-    return _epoch(history.newest(rows, 25, ["user_id"], "ts", "event_id"))
+    return _clock(history.newest(rows, 25, ["user_id"], "ts", "event_id"))
 
 
 @check("newest_records_large_limit", """
-    SELECT event_type, event_id, epoch_us(ts) AS at FROM events
+    SELECT event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events
     QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 1500""")
 def newest_records_large_limit(spark, sf_dir):
     rows = table(spark, sf_dir, "select event_type, event_id, ts from events", "events")
-    return _epoch(history.newest(rows, 1500, ["event_type"], "ts", "event_id"))
+    return _clock(history.newest(rows, 1500, ["event_type"], "ts", "event_id"))
 
 
 @check("newest_overall",
-       "SELECT event_id, user_id, epoch_us(ts) AS at FROM events ORDER BY ts DESC, event_id LIMIT 100")
+       "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events ORDER BY ts DESC, event_id LIMIT 100")
 def newest_overall(spark, sf_dir):
     rows = table(spark, sf_dir, "select event_id, user_id, ts from events", "events")
-    return _epoch(history.newest_overall(rows, 100, "ts", "event_id"))
+    return _clock(history.newest_overall(rows, 100, "ts", "event_id"))
 
 
 # The record texts are the digest-bearing lines of a document, its owner is its source.
@@ -646,7 +644,7 @@ def review_header(spark, sf_dir):
 _VIEW_INPUT = """
     select user_id, event_id, event_type as source,
       case when event_type = 'error' then 'no time' else
-        concat(replace(cast(ts as string), ' ', 'T'), 'Z') end as timestamp,
+        replace(cast(ts as string), ' ', 'T') end as timestamp,
       case when event_type in ('click', 'view') then 'redaction' end as kind,
       case when event_type = 'view' then concat('r', cast(event_id as string)) end as id,
       case when event_type = 'view' then 'a' end as original_text,
@@ -802,11 +800,11 @@ def stream_changed_values(spark, sf_dir):
     prepare(spark)
     stream = _event_stream(spark, sf_dir, ["event_id", "user_id", "event_type", "ts"])
     changed = changed_rows(stream, "user_id", "ts", "event_id", "event_type")
-    return _epoch(_drain(changed, _scratch(spark)))
+    return _clock(_drain(changed, _scratch(spark)))
 
 
 @check("stream_outside_pauses", f"""
-    SELECT e.event_id, e.user_id, epoch_us(e.ts) AS at FROM events e
+    SELECT e.event_id, e.user_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events e
     WHERE event_type <> 'error' AND NOT EXISTS (
       SELECT 1 FROM ({_PAUSES}) p WHERE p.user_id = e.user_id
       AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 300 SECOND)""")
@@ -815,7 +813,7 @@ def stream_outside_pauses(spark, sf_dir):
     stream = _event_stream(spark, sf_dir, ["event_id", "user_id", "ts", "event_type"])
     raised = stream.filter("event_type <> 'error'").drop("event_type")
     pauses = stream.filter("event_type = 'error'").select("user_id", "ts")
-    return _epoch(_drain(unpaused_rows(raised, pauses, "user_id", "ts", 300), _scratch(spark)))
+    return _clock(_drain(unpaused_rows(raised, pauses, "user_id", "ts", 300), _scratch(spark)))
 
 
 # The watched text is an event's properties with an address made from its value.

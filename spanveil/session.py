@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may hold and still be sent to every executor.  Rows here are a few
-# short columns, so this stays in the tens of megabytes.
+# What a side may hold and still be sent to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -27,10 +27,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes of text.
 
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_small(df, rows) else df
+    Reads no more rows than it must to tell.
+    """
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    seen = df.limit(rows + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(row)), F.lit(0)).alias("bytes")
+    ).first()
+    return seen["n"] <= rows and seen["bytes"] <= size
