@@ -6,9 +6,8 @@ long on both sides, so values compare directly.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +15,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from checks import oracle as O
 from spanveil.functions import labels
-from spanveil.functions.arrays import let
-from spanveil.functions.lines import explode_lines, split_lines
+from spanveil.functions.lines import explode_lines
 from spanveil.functions.spans import merge_spans
 from spanveil.operators import alerts as A
 from spanveil.operators import detect, history, policy, redact, report
@@ -26,6 +24,8 @@ from spanveil.operators.evaluate import evaluate
 from spanveil.operators.gazetteer import gazetteer_detect
 from spanveil.operators.rules import CUSTOM, PII, CREDENTIAL, Rule, catalog, only, register
 from spanveil.plans import jobs
+from spanveil.session import ensure_checkpoint_dir
+from spanveil.sources import history_store
 from spanveil.sources.history_store import split_redactions
 from spanveil.sources.selection import read_pointers
 from spanveil.sources.text import read_table, spread
@@ -72,6 +72,11 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4()}"
+
+
 def once(docs: DataFrame, text: str = "text") -> DataFrame:
     """Compute a derived text once per row: filters are not pushed below a generator, so
     the expression that makes the text is not repeated in each of them."""
@@ -526,12 +531,6 @@ def newest_overall(spark, sf_dir):
 _REDACTED = O.redacted(I.RICH, _ON)
 
 
-def _redaction_records(spark, sf_dir):
-    rows = jobs.redacted(rich(spark, sf_dir, "doc_id", "source", "lang"))
-    moment = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 61)
-    return history.redaction_records(rows, moment, F.col("source"), "doc_id", "source", "lang")
-
-
 _STAMP = ("strftime(make_timestamp((1704067200 + doc_id * 61) * 1000000), "
           "'%Y-%m-%dT%H:%M:%S.%f+00:00')")
 _ID = f"sha256(concat_ws(chr(31), doc_id, source, lang, {_STAMP}, source))"
@@ -576,15 +575,21 @@ def side_by_side(spark, sf_dir):
 
 
 def _owned(spark, sf_dir):
-    """Records with their owner: the source of the text."""
+    """A saved history whose owners are the sources of the texts.
+
+    Review reads its records several times, so they are written first, as a history is.
+    """
     rows = jobs.redacted(rich(spark, sf_dir, "doc_id", "source")).filter("redacted")
-    return rows.select(
+    records = rows.select(
         F.col("source").alias("owner"), F.concat(F.lit("d"), F.col("doc_id")).alias("id"),
         F.concat(F.lit("2024-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("timestamp"),
-        F.col("lang_source").alias("source") if "lang_source" in rows.columns else
         F.when(F.col("source") > "src15", "").otherwise(F.col("source")).alias("source"),
+        F.lit("redaction").alias("kind"),
         "line_numbers", F.col("text").alias("original_text"), "redacted_text",
     )
+    path = f"{_scratch(spark)}/history"
+    history_store.append(records, path)
+    return history_store.load(spark, path, f"owner string, {history_store.REDACTION_SCHEMA}")
 
 
 _OWNED = f"""
@@ -772,14 +777,6 @@ def evaluation(spark, sf_dir):
 
 # --- streams -------------------------------------------------------------------------
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder for one run: in the shared checkpoint folder, or a local one in tests."""
-    from spanveil.session import ensure_checkpoint_dir
-    import uuid
-
-    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
-
-
 def _event_stream(spark, sf_dir, columns):
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
