@@ -55,17 +55,16 @@ def suppress_paused(
     """
     length = F.lit(seconds * 1_000_000)
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    step = F.floor(at / length).cast("long")
-    per_step = pauses.select(by, step.alias("_step"), at.alias("_at")).groupBy(by, "_step").agg(
-        F.min("_at").alias("_first"), F.max("_at").alias("_last")
+    step = at - F.pmod(at, length)
+    none = F.lit(None).cast("long")
+    own = F.struct(step.alias("_step"), at.alias("_first"), none.alias("_until"))
+    following = F.struct(
+        (step + length).alias("_step"), none.alias("_first"), (at + length).alias("_until")
     )
-    own = per_step.select(by, "_step", "_first", F.lit(None).cast("long").alias("_until"))
-    before = per_step.select(
-        by, (F.col("_step") + 1).alias("_step"), F.lit(None).cast("long").alias("_first"),
-        (F.col("_last") + length).alias("_until"),
-    )
-    hidden = own.union(before).groupBy(by, "_step").agg(
-        F.min("_first").alias("_first"), F.max("_until").alias("_until")
+    hidden = (
+        pauses.select(by, F.inline(F.array(own, following)))
+        .groupBy(by, "_step")
+        .agg(F.min("_first").alias("_first"), F.max("_until").alias("_until"))
     )
     joined = lookup_join(
         rows.withColumn("_at", at).withColumn("_step", step), hidden, [by, "_step"], "left",

@@ -61,8 +61,13 @@ def changes(
         F.max(F.struct(time, tie, "_now")).getField("_now").alias("_last")
     )
     across = Window.partitionBy(by).orderBy("_slice")
-    carried = last.select(by, "_slice", F.lag("_last").over(across).alias("_carried"))
-    joined = seen.join(carried, [by, "_slice"], "left")
+    carried = last.select(
+        F.col(by).alias("_by"), F.col("_slice").alias("_at"),
+        F.lag("_last").over(across).alias("_carried"),
+    )
+    # Null-safe, so rows without an owner count as one owner here too.
+    same = seen[by].eqNullSafe(F.col("_by")) & (seen["_slice"] == F.col("_at"))
+    joined = seen.join(carried, same, "left")
     before = F.coalesce("_before", "_carried")
     changed = F.col("_now") != before
     keep = F.coalesce(changed, F.lit(emit_first))

@@ -55,32 +55,23 @@ def redaction_records(
     )
 
 
-# Up to this limit Spark cuts each input partition to ``limit`` rows per key before
-# the shuffle by itself.
-_PUSHED_LIMIT = 1_000
 _SALTS = 32
 
 
 def newest(records: DataFrame, limit: int, by: list[str], time: str, tie: str) -> DataFrame:
     """The newest ``max(1, limit)`` records of each owner.
 
-    Ranking happens before the shuffle, so an owner with a third of all records sends
-    ``limit`` rows per task; for a large limit it is ranked in salted parts first.
+    Records are ranked within salted parts of an owner first and the survivors ranked
+    again, so an owner with a third of all records is spread over tasks.  For limits up
+    to 1,000 Spark also cuts each input partition to the limit before the first shuffle.
     """
     limit = max(1, int(limit))
     order = [F.col(time).desc(), F.col(tie)]
-    if limit > _PUSHED_LIMIT:
-        salt = F.pmod(F.xxhash64(*by, tie), F.lit(_SALTS))
-        part = Window.partitionBy(*by, "_salt").orderBy(*order)
-        records = (
-            records.withColumn("_salt", salt)
-            .withColumn("_rank", F.row_number().over(part))
-            .filter(F.col("_rank") <= limit)
-            .drop("_salt", "_rank")
-        )
-    whole = Window.partitionBy(*by).orderBy(*order)
-    ranked = records.withColumn("_rank", F.row_number().over(whole))
-    return ranked.filter(F.col("_rank") <= limit).drop("_rank")
+    salted = records.withColumn("_salt", F.pmod(F.xxhash64(*by, tie), F.lit(_SALTS)))
+    for owner in ([*by, "_salt"], by):
+        rank = F.row_number().over(Window.partitionBy(*owner).orderBy(*order))
+        salted = salted.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    return salted.drop("_salt")
 
 
 def newest_overall(records: DataFrame, limit: int, time: str, tie: str) -> DataFrame:

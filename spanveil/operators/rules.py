@@ -71,6 +71,8 @@ def check_rule(rule: Rule) -> Rule:
             raise ValueError(f"rule {rule.name!r}: use (?:...) groups, captures are taken")
     if re.compile(rule.pattern).match(""):
         raise ValueError(f"rule {rule.name!r}: pattern must not match empty text")
+    if rule.ignore_case and rule.hint:
+        raise ValueError(f"rule {rule.name!r}: a literal hint is compared as written")
     if rule.validator is not None and rule.validator not in VALIDATORS:
         raise ValueError(f"rule {rule.name!r}: unknown validator {rule.validator!r}")
     return rule

@@ -22,6 +22,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _keyed(rows: DataFrame, by: str) -> DataFrame:
+    """Adds the state key: a text that is never null, so rows without owner share one."""
+    return rows.withColumn("owner_key", F.to_json(F.struct(by)))
+
+
 class LastValue(StatefulProcessor):
     """Keeps the digest of the last value and passes on rows that differ from it."""
 
@@ -41,7 +46,7 @@ class LastValue(StatefulProcessor):
         if not known:
             changed.iloc[0] = self.emit_first
         self.last.update((batch["now_digest"].iloc[-1],))
-        yield batch[changed].drop(columns="now_digest")
+        yield batch[changed].drop(columns=["now_digest", "owner_key"])
 
     def close(self) -> None:
         pass
@@ -52,7 +57,7 @@ def changed_rows(
 ) -> DataFrame:
     """The streaming form of ``operators.changes.changes``."""
     rows = stream.filter(F.col(value).isNotNull()).withColumn("now_digest", F.sha2(value, 256))
-    return rows.groupBy(by).transformWithStateInPandas(
+    return _keyed(rows, by).groupBy("owner_key").transformWithStateInPandas(
         statefulProcessor=LastValue(time, tie, emit_first),
         outputStructType=stream.schema,
         outputMode="Append",
@@ -80,7 +85,7 @@ class PauseUntil(StatefulProcessor):
         if last > float("-inf"):
             self.until.update((int(last),))
         shown = ~batch["is_pause"] & (batch["at_micros"] >= until)
-        yield batch[shown].drop(columns=["at_micros", "is_pause"])
+        yield batch[shown].drop(columns=["at_micros", "is_pause", "owner_key"])
 
     def close(self) -> None:
         pass
@@ -94,7 +99,7 @@ def unpaused_rows(
     shown = alerts.withColumn("at_micros", at).withColumn("is_pause", F.lit(False))
     control = pauses.select(by, time).withColumn("at_micros", at).withColumn("is_pause", F.lit(True))
     both = shown.unionByName(control, allowMissingColumns=True)
-    return both.groupBy(by).transformWithStateInPandas(
+    return _keyed(both, by).groupBy("owner_key").transformWithStateInPandas(
         statefulProcessor=PauseUntil(time, seconds),
         outputStructType=StructType(alerts.schema.fields),
         outputMode="Append",

@@ -18,7 +18,7 @@ from spanveil.streaming.state import changed_rows, prepare
 def events(spark, n=600, seed=3):
     """Owner 0 has most rows; some are null and some times are equal."""
     rng = random.Random(seed)
-    rows = [(i, 0 if rng.random() < 0.7 else rng.randint(1, 5), rng.randint(0, 200),
+    rows = [(i, 0 if rng.random() < 0.7 else rng.choice([1, 2, 3, None]), rng.randint(0, 200),
              rng.choice(["a@b.co", "x", "y", None])) for i in range(n)]
     frame = spark.createDataFrame(rows, "id int, owner int, sec long, text string")
     return rows, frame.select("id", "owner", F.timestamp_seconds("sec").alias("ts"), "text")
