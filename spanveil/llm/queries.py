@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.llm.line_dedup import drop_frequent_lines
+from spanveil.llm.mixing import mix
 from spanveil.llm.token_counts import token_counts
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,9 @@ SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
 FROM keyed LEFT JOIN frequent f ON keyed.k = f.k
 GROUP BY doc_id
 """
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
