@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.common import shared_folder
 from spanveil.llm.line_dedup import drop_frequent_lines
 from spanveil.llm.mixing import mix
 from spanveil.llm.token_counts import token_counts
+from spanveil.llm.warc import captures, read_records, resolved, write_archives
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +70,24 @@ GROUP BY doc_id
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_folder(spark, "warc")
+    write_archives(table(spark, folder, "pages"), archives)
+    pages = resolved(captures(read_records(spark, archives)))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id
+  FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 1000 OR page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM p
+"""
