@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.bloom_lm import lm_scores
 from spanveil.llm.common import shared_folder
 from spanveil.llm.line_dedup import drop_frequent_lines
 from spanveil.llm.mixing import mix
@@ -91,3 +92,13 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
 FROM p
 """
+
+
+def remainder(column: str, by: int) -> Column:
+    """crc32 of the id as text, modulo ``by``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(table(spark, folder, "documents"), remainder("doc_id", 7) == 2)
