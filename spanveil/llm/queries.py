@@ -13,6 +13,7 @@ from spanveil.llm.common import shared_folder
 from spanveil.llm.line_dedup import drop_frequent_lines
 from spanveil.llm.mixing import mix
 from spanveil.llm.token_counts import token_counts
+from spanveil.llm.toxicity import toxicity_scores
 from spanveil.llm.warc import captures, read_records, resolved, write_archives
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,10 @@ def remainder(column: str, by: int) -> Column:
 @query
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scores(table(spark, folder, "documents"), remainder("doc_id", 7) == 2)
+
+
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), remainder("doc_id", 5) == 0
+    )
