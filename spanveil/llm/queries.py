@@ -12,6 +12,7 @@ from spanveil.llm.bloom_lm import lm_scores
 from spanveil.llm.common import shared_folder
 from spanveil.llm.line_dedup import drop_frequent_lines
 from spanveil.llm.mixing import mix
+from spanveil.llm.order_minhash import near_duplicates
 from spanveil.llm.token_counts import token_counts
 from spanveil.llm.toxicity import toxicity_scores
 from spanveil.llm.warc import captures, read_records, resolved, write_archives
@@ -110,3 +111,9 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(
         table(spark, folder, "documents"), table(spark, folder, "labels"), remainder("doc_id", 5) == 0
     )
+
+
+@query
+def op5_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"), k=5, least=0.8)
+    return found.select("doc_id", "class_id", "is_first")
