@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.bloom_lm import lm_scores
 from spanveil.llm.common import shared_folder
+from spanveil.llm.decontaminate import decontaminate
 from spanveil.llm.line_dedup import drop_frequent_lines
 from spanveil.llm.mixing import mix
 from spanveil.llm.order_minhash import near_duplicates
@@ -117,3 +118,8 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op5_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"), k=5, least=0.8)
     return found.select("doc_id", "class_id", "is_first")
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

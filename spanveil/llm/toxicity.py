@@ -271,20 +271,20 @@ def toxicity_scores(
     empty = float((bare @ y[~with_terms] + prior) / (bare.sum() + 1.0)) if len(y) else prior
     sent = rows.sparkSession.sparkContext.broadcast((selected, idf, index, ids, slope, offset, empty, prior))
 
-    extra = [c for c in rows.columns if c != "text"]
-    schema = StructType([rows.schema[c] for c in extra] + [
+    result = StructType([
         StructField("score", DoubleType()),
         StructField("evidence", ArrayType(StructType([
             id_type, StructField("similarity", DoubleType()), StructField("label", LongType()),
         ]))),
     ])
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(result)
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         selected, idf, index, ids, slope, offset, empty, prior = sent.value
         features = Features(selected)
-        for frame in batches(frames, ROWS):
+        for names, texts in parts:
             scores, evidence = [], []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc_id, text in zip(names, texts, strict=True):
                 own, tf = features.counts(text)
                 if not len(own):
                     scores.append(empty)
@@ -297,9 +297,9 @@ def toxicity_scores(
                     {"doc_id": ids[i], "similarity": float(s), "label": int(index.labels[i])}
                     for i, s in zip(best.tolist(), similar.tolist(), strict=True)
                 ])
-            yield frame[extra].assign(score=scores, evidence=evidence)
+            yield pd.DataFrame({"score": scores, "evidence": evidence})
 
-    return rows.mapInPandas(score, schema).select(
-        F.col("doc_id").alias(id_col), *restored(keep), "held_out", "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence",
+    return rows.withColumn("found", score("doc_id", "text")).select(
+        F.col("doc_id").alias(id_col), *restored(keep), "held_out", "found.score",
+        (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.evidence",
     )
