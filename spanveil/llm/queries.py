@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from spanveil.llm.bloom_lm import lm_scores
 from spanveil.llm.common import shared_folder
 from spanveil.llm.decontaminate import decontaminate
+from spanveil.llm.hamming_search import top_k
 from spanveil.llm.line_dedup import drop_frequent_lines
 from spanveil.llm.mixing import mix
 from spanveil.llm.order_minhash import near_duplicates
 from spanveil.llm.token_counts import token_counts
 from spanveil.llm.toxicity import toxicity_scores
+from spanveil.llm.unit_dedup import drop_repeated_units
 from spanveil.llm.warc import captures, read_records, resolved, write_archives
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +125,31 @@ def op5_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = drop_repeated_units(table(spark, folder, "documents"), unit="sentence", least_words=20)
+    return found.select(
+        "doc_id", "n_units", "n_removed", "removed",
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op2_hamming_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, bits=64, segments=4)
+
+
+SQL["op2_hamming_topk"] = """
+WITH codes AS (
+  SELECT vec_id, array_to_string([CASE WHEN embedding[i] > 0 THEN '1' ELSE '0' END FOR i IN range(1, 65)], '') AS code
+  FROM embeddings
+), near AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, hamming(q.code, c.code) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY hamming(q.code, c.code), c.vec_id) AS rank
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank, neighbor_id, distance FROM near WHERE rank <= 10
+"""
