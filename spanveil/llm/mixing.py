@@ -124,24 +124,41 @@ def rounded(classes: DataFrame, state: DataFrame, most: float) -> DataFrame:
         "extra",
         F.greatest(F.lit(0), F.least("n", F.floor(F.col("before") + F.col("part") + 0.5)
                                      - F.floor(F.col("before") + 0.5))),
-    ))
-    miss = first.groupBy("rank").agg(
-        F.round(F.max("target") - F.sum(F.col("size") * (F.col("n") * F.col("low") + F.col("extra"))))
-        .cast("long").alias("miss")
-    )
-    # What is missing (or too much) is taken up by the smallest documents that still can.
-    free = F.when(F.col("size") == 0, 0).when(F.col("low") >= most, 0).when(
+    ).select("rank", "size", "n", "low", "extra", "target"))
+    return filled(cut(flipped(cut(filled(first, most)), most)), most).select("rank", "size", "n", "low", "extra")
+
+
+def with_miss(classes: DataFrame, most: float) -> DataFrame:
+    """Classes with the words that the source still misses (below 0: has too many) and the copies free to change."""
+    taken = F.sum(F.col("size") * (F.col("n") * F.col("low") + F.col("extra")))
+    miss = classes.groupBy("rank").agg(F.round(F.max("target") - taken).cast("long").alias("miss"))
+    free = F.when((F.col("size") == 0) | (F.col("low") >= most), 0).when(
         F.col("miss") > 0, F.col("n") - F.col("extra")
     ).otherwise(F.col("extra"))
+    return classes.join(miss, "rank").withColumn("free", free)
+
+
+def filled(classes: DataFrame, most: float) -> DataFrame:
+    """The smallest documents that can, take up what their source misses or give what it has too many."""
     room = running(
-        first.join(miss, "rank").withColumn("free", free)
-        .withColumn("words", F.col("free") * F.col("size")), "words", "used"
+        with_miss(classes, most).withColumn("words", F.col("free") * F.col("size")), "words", "used"
     )
     left = F.greatest(F.lit(0), F.abs("miss") - F.col("used"))
-    moved = F.when(F.col("size") == 0, 0).otherwise(
-        F.least("free", F.floor(left / F.greatest("size", F.lit(1))))
+    moved = F.least("free", F.floor(left / F.greatest("size", F.lit(1))))
+    return room.select(
+        "rank", "size", "n", "low", (F.col("extra") + F.signum("miss") * moved).cast("long").alias("extra"), "target"
+    )
+
+
+def flipped(classes: DataFrame, most: float) -> DataFrame:
+    """One document of a size between once and twice the miss changes sides, where there is one."""
+    near = with_miss(classes, most)
+    fits = (F.col("free") > 0) & (F.col("size") >= F.abs("miss")) & (F.col("size") < 2 * F.abs("miss"))
+    chosen = near.filter(fits).groupBy("rank").agg(F.min("size").alias("chosen"))
+    step = F.when(F.col("size") == F.col("chosen"), F.signum("miss")).otherwise(0)
+    return near.join(chosen, "rank", "left").select(
+        "rank", "size", "n", "low", (F.col("extra") + step).cast("long").alias("extra"), "target"
     )
-    return room.select("rank", "size", "n", "low", (F.col("extra") + F.signum("miss") * moved).cast("long").alias("extra"))
 
 
 def mix(
