@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from checks import inputs as I
 from spanveil import fixed_values as V
 from spanveil.operators.gazetteer import WORD
@@ -99,7 +101,7 @@ def findings(source: str, keys: str, rules: list[Rule], text: str) -> str:
 
 
 def line_findings(source: str, rules: list[Rule], keys: str = "doc_id", text: str = "text") -> str:
-    rules = [rule for rule in rules if not rule.multiline]
+    rules = [replace(rule, pattern=rule.line_pattern) if rule.multiline else rule for rule in rules]
     return findings(lines(source, keys, text), f"{keys}, line_no", rules, "line")
 
 

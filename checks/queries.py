@@ -331,9 +331,9 @@ def redacted_masked(spark, sf_dir):
 
 
 @check("redacted_hashed", f"SELECT {_REDACT_COLUMNS} FROM ("
-       + O.redacted(I.RICH, _ALL_REDACT, "substr(sha256(hit), 1, 16)") + ")")
+       + O.redacted(I.RICH, _ALL_REDACT, "sha256('salt' || chr(30) || sha256('salt' || chr(31) || hit))") + ")")
 def redacted_hashed(spark, sf_dir):
-    return redact.redact(rich(spark, sf_dir), ALL, mode="hash")
+    return redact.redact(rich(spark, sf_dir), ALL, mode="hash", key="salt")
 
 
 @check("redacted_dropped", f"SELECT {_REDACT_COLUMNS} FROM ("
@@ -349,15 +349,17 @@ def merged_spans(spark, sf_dir):
     return rich(spark, sf_dir).select("doc_id", F.inline(merge_spans(spans)))
 
 
-_REQUESTS = "SELECT DISTINCT event_id AS doc_id FROM events WHERE event_type = 'purchase'"
+_REQUESTS = (
+    "SELECT DISTINCT event_id % (SELECT count(*) FROM documents) AS doc_id FROM events "
+    "WHERE event_type = 'purchase'"
+)
 
 
 @check("redacted_on_request",
        f"SELECT {_REDACT_COLUMNS} FROM (" + O.redacted(
            f"SELECT doc_id, text FROM ({I.RICH}) SEMI JOIN ({_REQUESTS}) r USING (doc_id)", _ON) + ")")
 def redacted_on_request(spark, sf_dir):
-    requests = table(spark, sf_dir, "select event_id as doc_id from events "
-                                    "where event_type = 'purchase'", "events")
+    requests = table(spark, sf_dir, _REQUESTS, "events", "documents")
     return redact.redact_requested(requests, rich(spark, sf_dir), _ON, ["doc_id"])
 
 
@@ -433,32 +435,29 @@ def tenant_findings(spark, sf_dir):
 
 # --- alerts --------------------------------------------------------------------------
 
-_COPIED = (
-    "select e.event_id, e.user_id, e.ts, d.text from events e join "
-    f"({I.RICH}) d on d.doc_id = e.event_id"
-)
+# Every event copies a document; a document is looked at once, however often it is copied.
+_COPIED = "select event_id, user_id, ts, event_id % (select count(*) from documents) as doc_id from events"
 _PAUSES = "select user_id, ts from events where event_type = 'error'"
 _RED = "CASE WHEN max(confidence) <= 85 THEN 'amber' ELSE 'red' END"
 
 
 @check("alerts", f"""
     WITH src AS ({_COPIED}),
-    f AS (SELECT * FROM ({O.line_findings('SELECT event_id, text FROM src', DEFAULT, 'event_id')})),
-    g AS (SELECT event_id, count(*) AS span_count, {_TYPES.format(',')} AS types,
+    f AS (SELECT * FROM ({O.line_findings(I.RICH, DEFAULT)})),
+    g AS (SELECT doc_id, count(*) AS span_count, {_TYPES.format(',')} AS types,
       {_RED} AS severity,
       'Sensitive data detected!' || chr(10) || string_agg('• Line ' || line_no || ': '
         || {_ENTITY_LABEL} || ' (' || confidence || '%)', chr(10)
         ORDER BY line_no, "start", "end", entity) AS body
-      FROM f GROUP BY event_id)
+      FROM f GROUP BY doc_id)
     SELECT s.event_id, s.user_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S.%f') AS at, span_count, types, severity, body
-    FROM src s JOIN g USING (event_id)
+    FROM src s JOIN g USING (doc_id)
     WHERE NOT EXISTS (SELECT 1 FROM ({_PAUSES}) p WHERE p.user_id = s.user_id
       AND s.ts >= p.ts AND s.ts < p.ts + INTERVAL 300 SECOND)""")
 def alerts(spark, sf_dir):
-    docs = once(table(spark, sf_dir, _COPIED, "events", "documents"))
-    pauses = spark.sql(_PAUSES)
-    out = jobs.alert_rows(docs, pauses, "user_id", "ts", ["event_id"])
-    return _clock(out)
+    copied = table(spark, sf_dir, _COPIED, "events", "documents")
+    raised = copied.join(A.alerts(rich(spark, sf_dir), DEFAULT), "doc_id").drop("doc_id")
+    return _clock(A.suppress_paused(raised, spark.sql(_PAUSES), "user_id", "ts", ["event_id"]))
 
 
 def _clock(df: DataFrame) -> DataFrame:

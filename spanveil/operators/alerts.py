@@ -61,13 +61,16 @@ def suppress_paused(
     following = F.struct(
         (step + length).alias("_step"), none.alias("_first"), (at + length).alias("_until")
     )
+    # Inside a struct a null owner equals a null owner, as in the stream.
+    owner = F.struct(F.col(by)).alias("_owner")
     hidden = (
-        pauses.select(by, F.inline(F.array(own, following)))
-        .groupBy(by, "_step")
+        pauses.select(owner, F.inline(F.array(own, following)))
+        .groupBy("_owner", "_step")
         .agg(F.min("_first").alias("_first"), F.max("_until").alias("_until"))
     )
     joined = lookup_join(
-        rows.withColumn("_at", at).withColumn("_step", step), hidden, [by, "_step"], "left",
+        rows.withColumn("_owner", owner).withColumn("_at", at).withColumn("_step", step), hidden,
+        ["_owner", "_step"], "left",
         spread_by,
     )
     paused = (F.col("_at") >= F.col("_first")) | (F.col("_at") < F.col("_until"))

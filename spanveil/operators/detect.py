@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from dataclasses import replace
 from functools import reduce
 from operator import or_
 
@@ -29,20 +30,23 @@ _WORD_HINT = re.compile(r"[A-Za-z0-9_. -]{2,}")
 
 def _group(rule: Rule) -> tuple:
     """Rules asked together: those with rare literals, else those with the same hint."""
+    if rule.needs:
+        return (rule.name,)
     if rule.hint and all(_WORD_HINT.match(h) for h in rule.hints()):
         return ("words",)
     return (rule.hint, rule.hint_regex)
 
 
 def _regex(rule: Rule) -> str:
-    return rule.prefix_regex() + rule.value_regex()
+    return rule.prefix_regex() + rule.engine_regex()
 
 
 def _look(text: Column, rules: list[Rule]) -> Column | None:
     """Byte search for literals, or one short pattern; far cheaper than the rules."""
     literals = list(dict.fromkeys(h for rule in rules for h in rule.hints()))
     if literals:
-        return reduce(or_, [text.contains(literal) for literal in literals])
+        some = reduce(or_, [text.contains(literal) for literal in literals])
+        return some & text.contains(rules[0].needs) if rules[0].needs else some
     return text.rlike(rules[0].hint_regex) if rules[0].hint_regex else None
 
 
@@ -79,7 +83,7 @@ def _rule_pieces(text: Column, rule: Rule, lang: Column | None) -> Column:
             F.lit(rule.entity).alias("entity"),
             F.lit(float(rule.score)).alias("score"),
             F.lit(rule.name).alias("rule"),
-            regex_pieces(text, rule.value_regex(), rule.prefix_regex()).alias("found"),
+            regex_pieces(text, rule.engine_regex(), rule.prefix_regex()).alias("found"),
         ),
     )
 
@@ -189,8 +193,12 @@ def line_findings(text: Column, rules: Iterable[Rule], lang: Column | None = Non
 
 
 def line_rules(rules: Iterable[Rule]) -> list[Rule]:
-    """Rules that can match inside one line."""
-    return [rule for rule in rules if not rule.multiline]
+    """The rules for texts that are read line by line: one that spans lines looks for the
+    line that stands for it, so no kind is left out."""
+    return [
+        replace(rule, pattern=rule.line_pattern, java="", multiline=False) if rule.multiline else rule
+        for rule in rules
+    ]
 
 
 def hit_lines(

@@ -6,6 +6,9 @@ equality, and offsets are worked out only for lines that had a hit.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,9 @@ _PLACED = "struct<entity:string,start:int,end:int,score:double>"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Words cut in the text as it is, each then in lower case: lower-casing first could
+    move the word edges."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
 
 
 def normalize_dictionary(terms: DataFrame) -> DataFrame:
@@ -131,7 +136,9 @@ def gazetteer_detect(
         found = lookup_join(lines.select(*place, runs), dictionary, ["term"], "inner",
                             [*place, "at"], broadcast_rows, salts)
         hits = found.groupBy(*place).agg(F.collect_list(hit).alias("hits"))
-        per_line = lines.join(hits, place)
+        found_at = hits.select(*[F.col(c).alias(f"_{c}") for c in place], "hits")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+        per_line = lines.join(found_at, reduce(and_, same)).select(*place, "line", "hits")
     rows = per_line.select(
         *place, "line", F.inline(_longest(_place(F.col("line"), F.col("hits"))))
     )

@@ -16,13 +16,20 @@ from spanveil.operators.rules import Rule, with_threshold
 MODES = ("placeholder", "mask", "hash", "drop")
 
 
-def replacement(span: Column, hit: Column, mode: str, preserve_newlines: bool) -> Column:
+def replacement(
+    span: Column, hit: Column, mode: str, preserve_newlines: bool, key: str | None = None
+) -> Column:
+    """What stands in place of a hit; ``hash`` needs a secret key, or short values could be
+    found by trying them all."""
     if mode == "placeholder":
         out = F.concat(F.lit("<"), span["entity"], F.lit(">"))
     elif mode == "mask":
         out = F.repeat(F.lit("*"), F.length(hit))
     elif mode == "hash":
-        out = F.substring(F.sha2(hit, 256), 1, 16)
+        if not key:
+            raise ValueError("mode 'hash' needs a key")
+        inner = F.sha2(F.concat(F.lit(key), F.lit("\x1f"), hit), 256)
+        out = F.sha2(F.concat(F.lit(key), F.lit("\x1e"), inner), 256)
     elif mode == "drop":
         out = F.lit("")
     else:
@@ -33,12 +40,13 @@ def replacement(span: Column, hit: Column, mode: str, preserve_newlines: bool) -
 
 
 def redact_spans(
-    text: Column, spans: Column, mode: str = "placeholder", preserve_newlines: bool = False
+    text: Column, spans: Column, mode: str = "placeholder", preserve_newlines: bool = False,
+    key: str | None = None,
 ) -> Column:
     """The text with its spans replaced."""
     return splice(
         text, merge_spans(spans),
-        lambda span, hit: replacement(span, hit, mode, preserve_newlines),
+        lambda span, hit: replacement(span, hit, mode, preserve_newlines, key),
     )
 
 
@@ -50,6 +58,7 @@ def redact(
     preserve_newlines: bool = False,
     lang: str | None = None,
     threshold: float = V.REDACT_THRESHOLD,
+    key: str | None = None,
 ) -> DataFrame:
     """Adds ``redacted``, ``span_count``, ``line_numbers`` and ``redacted_text``.
 
@@ -60,12 +69,13 @@ def redact(
     source = F.col(text)
     lang_col = F.col(lang) if lang else None
     spans = F.when(any_match(source, rules), document_spans(source, rules, lang_col))
-    found = docs.withColumn("_spans", F.coalesce(spans, empty_array(SPAN)))
+    # A generator: filters on the outcome stay above it, so detection runs once.
+    found = docs.select("*", F.explode(F.array(F.coalesce(spans, empty_array(SPAN)))).alias("_spans"))
     some = F.size("_spans") > 0
     no_lines = empty_array("int")
     lines = F.when(some, affected_lines(source, F.col("_spans"))).otherwise(no_lines)
     clean = F.when(
-        some, redact_spans(source, F.col("_spans"), mode, preserve_newlines)
+        some, redact_spans(source, F.col("_spans"), mode, preserve_newlines, key)
     ).otherwise(source)
     return found.select(
         *docs.columns,

@@ -11,7 +11,8 @@ from spanveil import fixed_values as V
 from spanveil.functions.arrays import empty_array, let
 from spanveil.functions.labels import audit_message, sensitive_line_message
 from spanveil.functions.lines import explode_lines
-from spanveil.operators.detect import detect_spans, hit_lines, line_findings, line_rules
+from spanveil.functions.spans import SPAN
+from spanveil.operators.detect import any_match, detect_spans, hit_lines, line_findings, line_rules
 from spanveil.operators.rules import Rule
 
 
@@ -69,14 +70,20 @@ def summarize(
     )
 
 
+def _line_spans(rules: Iterable[Rule], lang: str | None) -> Column:
+    """Spans of a line; most lines are done with after the first look."""
+    rules = line_rules(rules)
+    spans = detect_spans(F.col("line"), rules, F.col(lang) if lang else None)
+    return F.when(any_match(F.col("line"), rules), spans).otherwise(empty_array(SPAN))
+
+
 def audit(
     docs: DataFrame, rules: Iterable[Rule], text: str = "text", lang: str | None = None
 ) -> DataFrame:
     """Every non-blank line: one row per finding, or one 'Clean' row."""
     keys = [c for c in docs.columns if c != text]
     lines = explode_lines(docs, text, skip_blank=True)
-    spans = detect_spans(F.col("line"), line_rules(rules), F.col(lang) if lang else None)
-    rows = lines.select(*keys, "line_no", F.inline_outer(spans))
+    rows = lines.select(*keys, "line_no", F.inline_outer(_line_spans(rules, lang)))
     return rows.select(
         *keys, "line_no", F.coalesce("entity", F.lit("Clean")).alias("entity"),
         "start", "end", "score", "match",
@@ -90,8 +97,7 @@ def clean_lines(
 ) -> DataFrame:
     """Non-blank lines without a finding."""
     lines = explode_lines(docs, text, skip_blank=True)
-    spans = detect_spans(F.col("line"), line_rules(rules), F.col(lang) if lang else None)
-    return lines.filter(F.size(spans) == 0)
+    return lines.filter(F.size(_line_spans(rules, lang)) == 0)
 
 
 def count_findings(findings: DataFrame, *by: str) -> DataFrame:

@@ -23,7 +23,8 @@ CUSTOM = "custom"
 RULE_SCHEMA = (
     "entity string, name string, category string, pattern string, prefix string, "
     "validator string, score double, ignore_case boolean, bounded boolean, "
-    "enabled boolean, lang string, hint string, hint_regex string, multiline boolean"
+    "enabled boolean, lang string, hint string, hint_regex string, multiline boolean, "
+    "needs string, java string, line_pattern string"
 )
 MAX_RULES = 2_000
 
@@ -32,7 +33,10 @@ MAX_RULES = 2_000
 class Rule:
     """``hint`` is a cheap first look: literals, one per line, of which every match
     contains one.  ``hint_regex`` is the same as a pattern.  ``prefix`` must stand
-    before the value but is not part of the span."""
+    before the value but is not part of the span.  ``needs`` is a literal that every match
+    contains besides.  ``java`` finds the same spans as ``pattern`` in time linear to the
+    text, with means that only the JVM has.  ``line_pattern`` is what a multiline rule
+    looks for where texts are read line by line."""
 
     entity: str
     name: str
@@ -48,9 +52,18 @@ class Rule:
     hint: str | None = None
     hint_regex: str | None = None
     multiline: bool = False
+    needs: str = ""
+    java: str = ""
+    line_pattern: str = ""
+
+    def engine_regex(self) -> str:
+        return self._value(self.java or self.pattern)
 
     def value_regex(self) -> str:
-        core = f"(?:{self.pattern})"
+        return self._value(self.pattern)
+
+    def _value(self, pattern: str) -> str:
+        core = f"(?:{pattern})"
         if self.bounded:
             core = rf"\b{core}\b"
         return f"(?i:{core})" if self.ignore_case else core
@@ -73,6 +86,8 @@ def check_rule(rule: Rule) -> Rule:
         raise ValueError(f"rule {rule.name!r}: pattern must not match empty text")
     if rule.ignore_case and rule.hint:
         raise ValueError(f"rule {rule.name!r}: a literal hint is compared as written")
+    if rule.multiline and not rule.line_pattern:
+        raise ValueError(f"rule {rule.name!r}: say what stands for it on one line")
     if rule.validator is not None and rule.validator not in VALIDATORS:
         raise ValueError(f"rule {rule.name!r}: unknown validator {rule.validator!r}")
     return rule
@@ -118,8 +133,18 @@ _CREDENTIAL_HINTS = {
     "SLACK": "xox",
     "MONGODB_URI": "mongodb",
 }
-# Two letters stand in too many texts to be a first look; this run does not.
-_JWT_HINT = "ey[A-Za-z0-9_-]{30}"
+# Two letters stand in too many texts to be a first look.  Three long runs with two dots
+# do not, and as each search starts at the edge of a run, no run is read twice.
+_JWT_RUN = "[A-Za-z0-9_-]"
+_JWT_HINT = (
+    rf"(?<!{_JWT_RUN}){_JWT_RUN}{{32,}}+\.{_JWT_RUN}{{30,}}+\.{_JWT_RUN}{{30}}"
+)
+# The span ends with the unbroken run, so it is enough to see the first ':' and the first
+# '@' after it; nothing is read again.
+_MONGODB_JAVA = (
+    r"mongodb(?:\+srv)?://(?=[^\s][^\s:]*+:[^\s][^\s@]*+@[^\s])[^\s]++"
+)
+_LOCAL = "[A-Za-z0-9._%+-]"
 
 _DIGITS = r"[0-9]{3}|[0-9]\."
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -131,6 +156,8 @@ def credential_rules() -> list[Rule]:
     return [
         Rule(entity, name, CREDENTIAL, shape, enabled=V.CREDENTIAL_DEFAULTS[name],
              hint=_CREDENTIAL_HINTS.get(entity),
+             needs="@" if entity == "MONGODB_URI" else "",
+             java=_MONGODB_JAVA if entity == "MONGODB_URI" else "",
              hint_regex=None if entity in _CREDENTIAL_HINTS else _JWT_HINT)
         for name, (entity, shape) in V.CREDENTIALS.items()
     ]
@@ -146,8 +173,9 @@ def pii_rules() -> list[Rule]:
     groups are found with dictionaries instead (see ``gazetteer``)."""
     return [
         _pii("EMAIL_ADDRESS",
-             r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}"
-             r"\.[A-Za-z]{2,24}", hint="@"),
+             rf"{_LOCAL}+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{{2,}}",
+             java=rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{{2,}}",
+             hint="@"),
         _pii("PHONE_NUMBER",
              r"\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}\b"
              r"|(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b",
@@ -164,10 +192,12 @@ def pii_rules() -> list[Rule]:
         _pii("IP_ADDRESS", rf"(?:{_OCTET}\.){{3}}{_OCTET}", bounded=True, score=0.95,
              name="IP_ADDRESS v4", hint_regex=_DIGITS),
         _pii("IP_ADDRESS",
-             rf"(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}",
-             bounded=True, score=0.95, name="IP_ADDRESS v6", hint_regex=_COLONS),
+             rf"\b(?:{_HEX4}:){{7}}{_HEX4}\b|\b(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}\b"
+             rf"|\B::(?:[Ff]{{4}}:)?(?:{_OCTET}\.){{3}}{_OCTET}\b|\B::(?:{_HEX4}:){{0,6}}{_HEX4}\b"
+             rf"|\b(?:{_HEX4}:){{1,7}}:\B",
+             score=0.95, name="IP_ADDRESS v6", hint_regex=_COLONS),
         _pii("URL",
-             r"""https?://(?:[^\s/?#@<>"']{1,256}@)?[A-Za-z0-9][A-Za-z0-9.-]{0,252}"""
+             r"""https?://(?:[^\s/?#@<>"']+@)?[A-Za-z0-9][A-Za-z0-9.-]*"""
              r"""(?::[0-9]{1,5})?(?:[/?#](?:[^\s<>"']*[^\s<>"'.,;:!?)\]])?)?""",
              score=0.6, validator="url_host", hint="://"),
         _pii("IBAN_CODE",
@@ -183,10 +213,12 @@ def extra_rules() -> list[Rule]:
         Rule("BEARER_TOKEN", "Bearer token", EXTRA, "[A-Za-z0-9._~+/-]{20,}={0,2}",
              prefix="Bearer ", score=0.9, hint="Bearer "),
         Rule("PRIVATE_KEY", "Private key block", EXTRA,
-             f"-----BEGIN {pem}.*?-----END {pem}", hint="PRIVATE KEY-----", multiline=True),
+             f"-----BEGIN {pem}.*?-----END {pem}", hint="PRIVATE KEY-----", multiline=True,
+             line_pattern=f"-----BEGIN {pem}"),
         Rule("DB_URI", "Database connection URI", EXTRA,
-             r"(?:postgresql|postgres|mysql)://[^\s:@/]{1,128}:[^\s@]{1,256}@[^\s]+", hint="://"),
-        Rule("GENERIC_SECRET", "Quoted secret", EXTRA, r"""[^\s"']{6,256}""",
+             r"(?:postgresql|postgres|mysql)://[^\s:@/]+:[^\s@]+@[^\s]+", hint="://", needs="@",
+             java=r"(?:postgresql|postgres|mysql)://[^\s:@/]++:[^\s@]++@[^\s]++"),
+        Rule("GENERIC_SECRET", "Quoted secret", EXTRA, r"""[^\s"']{6,}""",
              prefix=r"""(?:api_key|token|password|secret) {0,4}[=:] {0,4}["']""",
              score=0.7, ignore_case=True, hint_regex="[=:] {0,4}[\"']"),
         Rule("MAC_ADDRESS", "MAC address", EXTRA, "(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}",

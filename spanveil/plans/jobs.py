@@ -42,22 +42,34 @@ def sensitive_lines(
 def redacted(
     docs: DataFrame, policy: Policy = Policy(), rules: Iterable[Rule] | None = None,
     text: str = "text", mode: str = "placeholder", preserve_newlines: bool = False,
+    lang: str | None = None, key: str | None = None,
 ) -> DataFrame:
-    """Redacted texts; the threshold is fixed and does not follow the policy."""
-    chosen = [r for r in (catalog() if rules is None else rules) if policy.enabled(r)]
-    return redact.redact(docs, chosen, text, mode, preserve_newlines)
+    """Redacted texts; the threshold is fixed and does not follow the policy.
 
+    A rule of one language is used when it is the policy's; with ``lang`` (a column) it
+    is used on the rows of that language.
+    """
+    chosen = [
+        r for r in (catalog() if rules is None else rules)
+        if policy.enabled(r) and (lang or r.lang in (None, policy.language))
+    ]
+    return redact.redact(docs, chosen, text, mode, preserve_newlines, lang, key=key)
 
-def audit(docs: DataFrame, rules: Iterable[Rule] | None = None, text: str = "text") -> DataFrame:
+
+def audit(
+    docs: DataFrame, rules: Iterable[Rule] | None = None, text: str = "text", lang: str | None = None
+) -> DataFrame:
     """Every non-blank line with every detector, 'Clean' lines included."""
-    return report.audit(docs, catalog() if rules is None else rules, text)
+    return report.audit(docs, catalog() if rules is None else rules, text, lang)
 
 
 def scan_summary(
     docs: DataFrame, policy: Policy = Policy(), rules: Iterable[Rule] | None = None,
-    text: str = "text",
+    text: str = "text", lang: str | None = None,
 ) -> DataFrame:
-    return report.summarize(docs, _rules(policy, rules, inclusive=True), text)
+    """Metadata of every text; with ``lang`` rules apply to the rows of their language."""
+    chosen = _rules(policy, rules, inclusive=True)
+    return report.summarize(docs, chosen, text, lang)
 
 
 def summary_records(summary: DataFrame, moment: Column, *keys: str) -> DataFrame:
@@ -79,7 +91,8 @@ def history_view(records: DataFrame, limit: int, by: str, tie: str) -> DataFrame
 def alert_rows(
     docs: DataFrame, pauses: DataFrame, by: str, time: str, spread_by: list[str],
     policy: Policy = Policy(), rules: Iterable[Rule] | None = None, text: str = "text",
+    lang: str | None = None,
 ) -> DataFrame:
     """Alerts of texts with findings, without those raised during a pause."""
-    raised = A.alerts(docs, _rules(policy, rules), text)
+    raised = A.alerts(docs, _rules(policy, rules), text, lang)
     return A.suppress_paused(raised, pauses, by, time, spread_by)

@@ -25,9 +25,13 @@ def append(records: DataFrame, path: str, keep_history: bool = True) -> None:
 
 
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Saved records, or none when nothing was saved yet."""
+    """Saved records, or none when nothing was saved yet.
+
+    Records with an id that is there already (an append that ran twice) count once.
+    """
     try:
-        return spark.read.schema(f"{schema}, day string").parquet(path).drop("day")
+        saved = spark.read.schema(f"{schema}, day string").parquet(path).drop("day")
+        return saved.dropDuplicates(["id"]) if "id" in saved.columns else saved
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -35,8 +39,11 @@ def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def clear(spark: SparkSession, path: str, schema: str) -> None:
+    """Remove every record, whatever overwrite mode the session has."""
     empty = spark.createDataFrame([], f"{schema}, day string")
-    empty.write.mode("overwrite").partitionBy("day").parquet(path)
+    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        "day"
+    ).parquet(path)
 
 
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:

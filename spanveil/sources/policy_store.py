@@ -7,27 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from spanveil.operators.policy import read_settings, settings_json
+from spanveil.session import ensure_checkpoint_dir
 
 
-def load_settings(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON settings file per tenant (``tenant`` is its path), defaults filled in.
+def load_settings(spark: SparkSession, path: str, key: str = "tenant") -> DataFrame:
+    """Saved settings, defaults filled in: what ``save_settings`` wrote, one row per ``key``,
+    or JSON files, of which each is one tenant named by its path.
 
-    No file gives no rows; ``Policy()`` holds the defaults.
+    Nothing saved gives no rows; ``Policy()`` holds the defaults.
     """
     try:
-        files = spark.read.text(path, wholetext=True)
+        # Files are told apart by name before any of them is read.
+        name = F.col("_metadata.file_path")
+        files = spark.read.text(path, wholetext=True).filter(~name.endswith(".parquet")).select(
+            name.alias(key), F.col("value").alias("settings")
+        )
+        saved = (
+            spark.read.schema(f"{key} string, settings string")
+            .option("pathGlobFilter", "*.parquet").parquet(path)
+        )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        files = spark.createDataFrame([], "value string").withColumn(
-            "_metadata", F.struct(F.lit("").alias("file_path"))
-        )
-    return read_settings(
-        files.select(F.col("_metadata.file_path").alias("tenant"),
-                     F.col("value").alias("settings"))
-    )
+        return read_settings(spark.createDataFrame([], f"{key} string, settings string"))
+    return read_settings(files.unionByName(saved))
 
 
 def save_settings(settings: DataFrame, path: str, *keys: str) -> None:
-    """Write the whole table anew, keys sorted inside each text."""
-    settings_json(settings, *keys).write.mode("overwrite").parquet(path)
+    """Write the whole table anew, keys sorted inside each text; ``settings`` may come from ``path``."""
+    ensure_checkpoint_dir(settings.sparkSession)
+    texts = settings_json(settings, *keys).checkpoint()
+    texts.write.mode("overwrite").parquet(path)

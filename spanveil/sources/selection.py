@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.utils import AnalysisException
+
 from spanveil.functions.lines import is_nonblank
+from spanveil.session import ensure_checkpoint_dir
 
 
 def selected_id(pointer: Column) -> Column:
@@ -48,5 +51,15 @@ def select_record(spark: SparkSession, path: str, by: str, owner: str, record_id
     """Point one owner at a record; a blank id is refused."""
     if not str(record_id).strip():
         raise ValueError("a record id is required")
-    row = spark.createDataFrame([(owner, record_id)], f"{by} string, id string")
-    write_pointers(row, path, by)
+    row = spark.createDataFrame([(owner, record_id)], f"{by} string, id string").select(
+        by, pointer_json(F.col("id")).alias("pointer")
+    )
+    try:
+        others = spark.read.parquet(path).filter(~F.col(by).eqNullSafe(F.lit(owner)))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        others = row.limit(0)
+    # What is read must be stored elsewhere before the same path is written.
+    ensure_checkpoint_dir(spark)
+    others.select(by, "pointer").unionByName(row).checkpoint().write.mode("overwrite").parquet(path)

@@ -96,10 +96,11 @@ def test_line_and_document_units_agree(spark):
     assert sorted(lined.collect()) == sorted(whole.collect())
 
 
-def test_private_key_is_found_in_documents_only(spark):
+def test_private_key_is_found_whole_or_by_its_first_line(spark):
     text = "a\n-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----\nz"
     rules = only(catalog(), "PRIVATE_KEY")
-    assert detect.scan(docs(spark, text), rules).count() == 0
+    line = detect.scan(docs(spark, text), rules).first()
+    assert (line["line_no"], line["match"]) == (2, "-----BEGIN RSA PRIVATE KEY-----")
     row = detect.scan(docs(spark, text), rules, unit="document").first()
     assert (row["line_no"], row["start"], row["match"].count("\n")) == (2, 2, 2)
 

@@ -6,15 +6,6 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import TABLES, rows_of
 
-QUICK = [
-    "numbered_lines", "nonblank_lines", "normalized_lines", "findings_default_policy",
-    "findings_in_pages", "sensitive_lines", "scan_summary", "clean_lines",
-    "redacted_default_policy", "policy_switches", "changed_values", "newest_records",
-    "history_view", "parsed_redactions", "selection_pointers", "dictionary_findings",
-    "events_outside_pauses",
-]
-
-
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
@@ -23,7 +14,7 @@ def duck(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", list(entry.Q.SPARK))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = entry.queries()[name](spark, sf_dir)
     cursor = duck.execute(entry.oracle_sql()[name])
