@@ -824,13 +824,107 @@ _WATCHED = ("concat(props, chr(10), 'mail u', cast(user_id as string), '@', even
     SELECT user_id, event_id, {O.FINDING} FROM
       ({O.line_findings('SELECT * FROM c', only(ALL, 'EMAIL_ADDRESS', 'IP_ADDRESS'), 'event_id, user_id')})""")
 def monitor_findings(spark, sf_dir):
+    return spark.read.parquet(f"{_monitored(spark, sf_dir)}/findings").drop("ts", "batch")
+
+
+def _monitored(spark, sf_dir):
+    """What the monitor wrote about the watched texts."""
     stream = _event_stream(spark, sf_dir, ["event_id", "user_id", "ts", "event_type", "props", "value"])
     texts = stream.select("event_id", "user_id", "ts", F.expr(_WATCHED).alias("text"))
+    load(spark, sf_dir, "events")
     out = _scratch(spark)
     query = M.monitor(texts, only(ALL, "EMAIL_ADDRESS", "IP_ADDRESS"), f"{out}/out",
-                      f"{out}/checkpoint", "user_id", "ts", "event_id", available_now=True)
+                      f"{out}/checkpoint", "user_id", "ts", "event_id", available_now=True,
+                      pauses=lambda session: session.sql(_PAUSES), mask=False)
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/out/findings").drop("ts", "batch")
+    return f"{out}/out"
+
+
+_WATCHED_CHANGES = f"""
+    w AS (SELECT event_id, user_id, ts, {_WATCHED} AS text FROM events),
+    c AS (SELECT event_id, user_id, ts, text FROM (SELECT *, lag(text) OVER (PARTITION BY user_id
+        ORDER BY ts, event_id) AS before FROM w) WHERE before <> text)"""
+
+
+# The watched text holds one address, and a second kind where the value is large.
+@check("monitor_summary", f"""
+    WITH {_WATCHED_CHANGES}
+    SELECT event_id, user_id, CASE WHEN text LIKE '% 10.0.0.%' THEN 2 ELSE 1 END AS span_count,
+      CASE WHEN text LIKE '% 10.0.0.%' THEN 'EMAIL_ADDRESS,IP_ADDRESS' ELSE 'EMAIL_ADDRESS' END AS types,
+      CAST(length(text) AS BIGINT) AS text_length, true AS leak FROM c""")
+def monitor_summary(spark, sf_dir):
+    rows = spark.read.parquet(f"{_monitored(spark, sf_dir)}/summary")
+    return rows.select("event_id", "user_id", "span_count", "types", "text_length", "leak")
+
+
+@check("monitor_alerts_outside_pauses", f"""
+    WITH {_WATCHED_CHANGES}
+    SELECT event_id, user_id FROM c WHERE NOT EXISTS (SELECT 1 FROM ({_PAUSES}) p
+      WHERE p.user_id = c.user_id AND c.ts >= p.ts AND c.ts < p.ts + INTERVAL 300 SECOND)""")
+def monitor_alerts_outside_pauses(spark, sf_dir):
+    return spark.read.parquet(f"{_monitored(spark, sf_dir)}/alerts").select("event_id", "user_id")
+
+
+@check("monitor_history_bounded", f"""
+    WITH {_WATCHED_CHANGES}
+    SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+      ORDER BY ts DESC, event_id DESC) AS turn FROM c) WHERE turn <= 25""")
+def monitor_history_bounded(spark, sf_dir):
+    kept = M.bounded_history(spark, _monitored(spark, sf_dir), 25, "user_id", "event_id")
+    return kept.select("event_id", "user_id")
+
+
+# Values longer than any fixed length; the SQL is written by hand, not from the rules.
+_LONG = """
+    select doc_id, concat('mail ', repeat(md5(cast(doc_id as string)), 3), '@x.', md5(cast(doc_id as string)),
+      '.aa.bb.cc.dd.ee.ff.gg.hh.example.com end', chr(10), 'token = "', repeat(sha2('t', 256), 7), '" end', chr(10),
+      'db postgres://u:', repeat(md5(cast(doc_id as string)), 12), '@host/db end', chr(10),
+      'see http://', repeat(md5('u'), 10), '@host.example.org/p end', chr(10), '-----BEGIN RSA PRIVATE KEY-----') as text
+    from documents"""
+_MD = "md5(CAST(doc_id AS VARCHAR))"
+
+
+@check("findings_long_values", f"""
+    SELECT doc_id, 1 AS line_no, 'EMAIL_ADDRESS' AS entity,
+      repeat({_MD}, 3) || '@x.' || {_MD} || '.aa.bb.cc.dd.ee.ff.gg.hh.example.com' AS "match" FROM documents
+    UNION ALL SELECT doc_id, 2, 'GENERIC_SECRET', repeat(sha256('t'), 7) FROM documents
+    UNION ALL SELECT doc_id, 3, 'DB_URI', 'postgres://u:' || repeat({_MD}, 12) || '@host/db' FROM documents
+    UNION ALL SELECT doc_id, 4, 'URL', 'http://' || repeat(md5('u'), 10) || '@host.example.org/p' FROM documents
+    UNION ALL SELECT doc_id, 5, 'PRIVATE_KEY', '-----BEGIN RSA PRIVATE KEY-----' FROM documents""")
+def findings_long_values(spark, sf_dir):
+    rules = only(ALL, "EMAIL_ADDRESS", "GENERIC_SECRET", "DB_URI", "URL", "PRIVATE_KEY")
+    found = detect.scan(table(spark, sf_dir, _LONG, "documents"), rules)
+    # The host part of an address in a URI is an address of its own.
+    return found.filter("not (entity = 'EMAIL_ADDRESS' and line_no > 1)").select("doc_id", "line_no", "entity", "match")
+
+
+@check("summary_private_keys", """
+    SELECT doc_id, true AS leak, 1 AS span_count, 'PRIVATE_KEY' AS types FROM documents""")
+def summary_private_keys(spark, sf_dir):
+    texts = table(spark, sf_dir, "select doc_id, concat('a', chr(10), '-----BEGIN RSA PRIVATE KEY-----', chr(10), "
+                                 "md5(text), chr(10), '-----END RSA PRIVATE KEY-----') as text from documents", "documents")
+    return report.summarize(texts, only(ALL, "PRIVATE_KEY")).select("doc_id", "leak", "span_count", "types")
+
+
+@check("alerts_without_owner", f"""
+    WITH e AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN user_id END AS owner, ts, event_type FROM events)
+    SELECT event_id, owner FROM e WHERE NOT EXISTS (SELECT 1 FROM e p WHERE p.event_type = 'error'
+      AND p.owner IS NOT DISTINCT FROM e.owner AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 300 SECOND)""")
+def alerts_without_owner(spark, sf_dir):
+    rows = table(spark, sf_dir, "select event_id, case when user_id % 2 = 0 then user_id end as owner, ts, "
+                                "event_type from events", "events")
+    pauses = rows.filter("event_type = 'error'").select("owner", "ts")
+    return A.suppress_paused(rows, pauses, "owner", "ts", ["event_id"]).select("event_id", "owner")
+
+
+@check("findings_ipv6_forms", """
+    SELECT doc_id, form AS "match" FROM documents, (VALUES ('::1'), ('fe80::'), ('::ffff:10.1.2.3'),
+      ('2001:db8::8a2e:370:7334'), ('2001:db8:0:1:1:1:1:1')) AS forms(form)""")
+def findings_ipv6_forms(spark, sf_dir):
+    forms = "::1;fe80::;::ffff:10.1.2.3;2001:db8::8a2e:370:7334;2001:db8:0:1:1:1:1:1;std::move(x)"
+    texts = table(spark, sf_dir, f"select doc_id, replace('{forms}', ';', chr(10)) as text from documents", "documents")
+    rules = [r for r in only(ALL, "IP_ADDRESS") if r.name.endswith("v6")]
+    return detect.scan(texts, rules).select("doc_id", "match")
 
 
 @check("stream_redacted_on_request", f"""

@@ -25,6 +25,11 @@ def alerts(
     found = line_findings(F.col(text), rules, F.col(lang) if lang else None)
     one = F.transform(F.array(found), lambda f: F.struct(f.alias("found")))
     rows = docs.select(*keys, F.inline(F.filter(one, lambda o: F.size(o["found"]) > 0)))
+    return alert_columns(rows, keys)
+
+
+def alert_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Alerts from rows that carry their findings (``found``, not empty)."""
     body = F.array_join(
         F.transform(
             F.col("found"), lambda f: alert_line(f["line_no"], f["entity"], percent(f["score"]))

@@ -252,6 +252,11 @@ def scan(
         ).select(*keys, F.inline(numbered))
     else:
         raise ValueError(f"unknown unit {unit!r}")
+    return finding_columns(rows, keys)
+
+
+def finding_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys and ``FINDING_COLUMNS`` of rows with one finding each."""
     shown = [
         percent(F.col("score")).alias(c) if c == "confidence" else c for c in FINDING_COLUMNS
     ]

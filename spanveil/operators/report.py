@@ -56,17 +56,22 @@ def summarize(
     found = docs.select(
         *keys,
         F.length(text).alias("text_length"),
-        line_findings(F.col(text), rules, F.col(lang) if lang else None).alias("_found"),
+        line_findings(F.col(text), rules, F.col(lang) if lang else None).alias("found"),
     )
-    pairs = F.transform(F.col("_found"), lambda f: F.struct(f["line_no"], f["entity"]))
-    return found.select(
+    return summary_columns(found, keys)
+
+
+def summary_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Summaries from rows that carry their findings (``found``) and ``text_length``."""
+    pairs = F.transform(F.col("found"), lambda f: F.struct(f["line_no"], f["entity"]))
+    return rows.select(
         *keys,
-        F.size("_found").alias("span_count"),
+        F.size("found").alias("span_count"),
         F.size(F.array_distinct(pairs)).alias("line_type_count"),
-        types_of(F.col("_found")).alias("types"),
-        F.size(F.array_distinct(F.col("_found.line_no"))).alias("affected_lines"),
+        types_of(F.col("found")).alias("types"),
+        F.size(F.array_distinct(F.col("found.line_no"))).alias("affected_lines"),
         "text_length",
-        (F.size("_found") > 0).alias("leak"),
+        (F.size("found") > 0).alias("leak"),
     )
 
 

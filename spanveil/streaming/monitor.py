@@ -1,23 +1,27 @@
 """The continuous monitor: watch texts, scan what changed, write what was found.
 
-Detection is the same column code as in batch.  Each micro-batch first writes the
-changed rows under its own number and derives everything else from that folder, so a
-repeated batch replaces its output instead of adding to it.
+Detection is the same column code as in batch and runs once per changed text.  Each
+micro-batch writes its findings under its own number and derives everything else from
+them, so a repeated batch replaces its output instead of adding to it.  Texts are never
+written, and matches only in part unless asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from spanveil.operators.alerts import alerts
-from spanveil.operators.detect import scan
+from spanveil import fixed_values as V
+from spanveil.functions.labels import masked_preview
+from spanveil.operators.alerts import alert_columns, suppress_paused
+from spanveil.operators.detect import finding_columns, line_findings
+from spanveil.operators.history import newest, scan_records
 from spanveil.operators.redact import redact
-from spanveil.operators.report import summarize
+from spanveil.operators.report import summary_columns
 from spanveil.operators.rules import Rule
 from spanveil.streaming.state import changed_rows, prepare
 
@@ -26,13 +30,17 @@ POLL = "200 milliseconds"
 
 def read_texts(
     spark: SparkSession, path: str, schema: StructType, glob: str | None = None,
-    files_per_batch: int = 100, format: str = "parquet",
+    files_per_batch: int = 100, format: str = "parquet", skip_unreadable: bool = False,
 ) -> DataFrame:
-    """A folder watched for new files; unreadable files are skipped."""
+    """A folder watched for new files.
+
+    A file that cannot be read fails the micro-batch, which is tried again with the same
+    files when the query starts anew; ``skip_unreadable`` passes over it for good.
+    """
     reader = (
         spark.readStream.format(format).schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", skip_unreadable)
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -61,36 +69,64 @@ def requested_redactions(
     return redact(joined.select(*columns), rules, text).filter("redacted")
 
 
+def _shortened(found: Column) -> Column:
+    """Findings with the start of the match in place of the match."""
+    return F.transform(found, lambda f: f.withField("match", masked_preview(f["match"])))
+
+
 def fan_out(
-    rules: Iterable[Rule], out: str, text: str = "text",
+    rules: Iterable[Rule], out: str, by: str, time: str, tie: str, text: str = "text",
     subscriber: Callable[[DataFrame, int], None] | None = None,
+    pauses: Callable[[SparkSession], DataFrame] | None = None,
+    keep_history: bool = True, mask: bool = True,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that writes changes, findings, alerts and summaries."""
+    """A ``foreachBatch`` function that writes changes, findings, alerts, summaries and history.
+
+    ``pauses`` reads the pauses (``by``, ``time``) known when the batch runs; alerts
+    raised during one are left out.  History records hold no text and no match.
+    """
     rules = list(rules)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        changed = f"{out}/changes/batch={number}"
-        batch.write.mode("overwrite").parquet(changed)
-        rows = spark.read.schema(batch.schema).parquet(changed)
-        parts = {
-            "findings": scan(rows, rules, text),
-            "alerts": alerts(rows, rules, text),
-            "summary": summarize(rows, rules, text),
-        }
-        for name, part in parts.items():
-            part.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        keys = [c for c in batch.columns if c != text]
+
+        def put(name: str, rows: DataFrame) -> DataFrame:
+            folder = f"{out}/{name}/batch={number}"
+            rows.write.mode("overwrite").parquet(folder)
+            return spark.read.schema(rows.schema).parquet(folder)
+
+        found = line_findings(F.col(text), rules)
+        changed = put("changes", batch.select(
+            *keys, F.length(text).alias("text_length"), (_shortened(found) if mask else found).alias("found")
+        ))
+        put("findings", finding_columns(changed.select(*keys, F.inline("found")), keys))
+        raised = alert_columns(changed.filter(F.size("found") > 0), keys)
+        if pauses is not None:
+            raised = suppress_paused(raised, pauses(spark), by, time, [tie])
+        raised = put("alerts", raised)
+        summary = put("summary", summary_columns(changed, keys))
+        if keep_history:
+            put("history", scan_records(summary, F.col(time), F.lit(V.SCAN_SOURCE), by, tie))
         if subscriber is not None:
-            subscriber(spark.read.parquet(f"{out}/alerts/batch={number}"), number)
+            subscriber(raised, number)
 
     return write
 
 
+def bounded_history(spark: SparkSession, out: str, limit: int, by: str, tie: str) -> DataFrame:
+    """The newest ``limit`` history records of each owner over all micro-batches."""
+    rows = spark.read.parquet(f"{out}/history").drop("batch")
+    return newest(rows, limit, [by], "timestamp", tie)
+
+
 def monitor(
     stream: DataFrame, rules: Iterable[Rule], out: str, checkpoint: str,
     by: str, time: str, tie: str, text: str = "text",
     scan_enabled: bool = True, available_now: bool = False,
     subscriber: Callable[[DataFrame, int], None] | None = None,
+    pauses: Callable[[SparkSession], DataFrame] | None = None,
+    keep_history: bool = True, mask: bool = True, poll: str = POLL,
 ) -> StreamingQuery:
     """Start watching.  ``out`` and ``checkpoint`` are folders every executor can reach.
 
@@ -98,12 +134,9 @@ def monitor(
     """
     prepare(stream.sparkSession)
     changed = changed_rows(stream.filter(F.lit(scan_enabled)), by, time, tie, text)
-    writer = changed.writeStream.foreachBatch(fan_out(rules, out, text, subscriber)).option(
-        "checkpointLocation", checkpoint
-    )
+    write = fan_out(rules, out, by, time, tie, text, subscriber, pauses, keep_history, mask)
+    writer = changed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = (
-        writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=POLL)
+        writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=poll)
     )
     return writer.start()
-
-
