@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A fold that appends copies what it has gathered so far.  Working in blocks
-# bounds the copy to one block, so a text with 100,000 matches stays cheap.
-BLOCK = 32
+# A fold copies its state with every item.  Working in blocks bounds the copy to one
+# block per item, and to one copy of all per block.
+BLOCK = 128
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,6 +21,12 @@ def empty_array(element_type: str) -> Column:
     return F.array().cast(f"array<{element_type}>")
 
 
+def stretch(items: Column, number: Column, size: int) -> Column:
+    """Block ``number`` of the items, taken one by one: ``slice`` would read the whole array."""
+    last = F.least((number + 1) * size, F.size(items)) - 1
+    return F.transform(F.sequence(number * size, last), lambda i: F.get(items, i))
+
+
 def fold_array(
     items: Column,
     carry: Column,
@@ -37,21 +43,20 @@ def fold_array(
 
     def one(state: Column, item: Column) -> Column:
         emitted, following = step(state["carry"], item)
-        return F.struct(
-            following.alias("carry"),
-            state["blocks"].alias("blocks"),
-            F.concat(state["out"], emitted).alias("out"),
-        )
+        return F.struct(following.alias("carry"), F.concat(state["out"], emitted).alias("out"))
 
     def block(state: Column, number: Column) -> Column:
-        return F.aggregate(
-            F.slice(items, number * BLOCK + 1, F.lit(BLOCK)),
-            F.struct(state["carry"].alias("carry"), state["blocks"].alias("blocks"),
-                     none.alias("out")),
+        # What earlier blocks gave stays out of the inner fold, which copies its state per item.
+        inner = F.aggregate(
+            stretch(items, number, BLOCK),
+            F.struct(state["carry"].alias("carry"), none.alias("out")),
             one,
+        )
+        return let(
+            inner,
             lambda s: F.struct(
                 s["carry"].alias("carry"),
-                F.concat(s["blocks"], F.array(s["out"])).alias("blocks"),
+                F.concat(state["blocks"], F.array(s["out"])).alias("blocks"),
             ),
         )
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import empty_array, fold_array, let, running_total
+from spanveil.functions.arrays import empty_array, fold_array, let, running_total, stretch
 
 SPAN = "struct<entity:string,start:int,end:int,score:double,rule:string,match:string>"
 SPLICE_BLOCK = 256
@@ -135,11 +135,11 @@ def splice(text: Column, spans: Column, render: Callable[[Column, Column], Colum
         return F.when(index > 0, F.get(all_spans, index - 1)["end"]).otherwise(F.lit(0))
 
     def block(all_spans: Column, number: Column) -> Column:
-        part = F.slice(all_spans, number * SPLICE_BLOCK + 1, F.lit(SPLICE_BLOCK))
+        part = stretch(all_spans, number, SPLICE_BLOCK)
         low = previous_end(all_spans, number * SPLICE_BLOCK)
         bound = F.struct(part.alias("part"), low.alias("low"))
 
-        def stretch(b: Column) -> Column:
+        def with_cut(b: Column) -> Column:
             high = F.element_at(b["part"], -1)["end"]
             return F.struct(
                 b["part"].alias("part"),
@@ -158,7 +158,7 @@ def splice(text: Column, spans: Column, render: Callable[[Column, Column], Colum
 
             return F.array_join(F.transform(b["part"], one), "")
 
-        return let(let(bound, stretch), rendered)
+        return let(let(bound, with_cut), rendered)
 
     def whole(all_spans: Column) -> Column:
         last = F.floor((F.size(all_spans) - 1) / SPLICE_BLOCK).cast("int")

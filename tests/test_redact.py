@@ -102,3 +102,19 @@ def test_newlines_can_be_kept(spark):
 def test_low_scores_are_not_redacted(spark):
     weak = [r.__class__(**{**r.__dict__, "score": 0.5}) for r in only(catalog(), "EMAIL_ADDRESS")]
     assert not redact(docs(spark, "a@b.co"), weak).first()["redacted"]
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    """Twice the matches may not take four times as long."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"u{i}@x.com" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        began = time.perf_counter()
+        row = redact(df, only(catalog(), "EMAIL_ADDRESS")).first()
+        assert row["span_count"] == n and row["redacted_text"] == " ".join(["<EMAIL_ADDRESS>"] * n)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 3.5 * seconds(20_000) + 2
