@@ -109,16 +109,16 @@ class ItemIndex:
         asked = {e for t in present[self.is_heavy[present]].tolist() for e in self.heavy[t]}
         if not asked:
             return []
-        terms, found = present.tolist(), []
-        inside, blocks = set(terms), {e // BLOCK for e in asked}
-        open_ = {
-            b for b in blocks
-            if sum(self.block_max[b].get(t, 0.0) for t in terms) >= self.threshold - 1e-9
-        }
+        inside, found, least = set(present.tolist()), [], self.threshold - 1e-9
+        open_ = set()
+        for block in {e // BLOCK for e in asked}:
+            top = self.block_max[block]
+            if sum(map(top.__getitem__, top.keys() & inside)) >= least:
+                open_.add(block)
         for entry in sorted(asked):
             if entry // BLOCK in open_:
-                score = sum(w for t, w in self.weights[entry].items() if t in inside)
-                if score >= self.threshold - 1e-9:
+                weight = self.weights[entry]
+                if sum(map(weight.__getitem__, weight.keys() & inside)) >= least:
                     found.append(entry)
         return found
 
@@ -152,15 +152,15 @@ class ItemIndex:
 
 
 class TermNumbers(dict):
-    """Word of a text -> its number in the index, -1 if no item has it, None if it is only marks."""
+    """Word of a text -> its number in the index, -1 if no item has it, -2 if it is only marks."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
         self.terms = terms
 
-    def __missing__(self, word: str) -> int | None:
+    def __missing__(self, word: str) -> int:
         own = normal(word)
-        found = self.terms.get(own, -1) if own else None
+        found = self.terms.get(own, -1) if own else -2
         if len(self) >= MEMO:
             self.clear()
         if len(word) <= 64:
@@ -168,8 +168,9 @@ class TermNumbers(dict):
         return found
 
     def of(self, text: str) -> np.ndarray:
-        found = [n for n in map(self.__getitem__, text.split()) if n is not None]
-        return np.array(found, dtype=np.int64)
+        words = text.split()
+        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return found[found != -2]
 
 
 def item_terms(items: DataFrame) -> DataFrame:
