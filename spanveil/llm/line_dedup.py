@@ -32,12 +32,14 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_length: int) -> DataFrame
         .select("doc_key", "pos", F.unhex(F.md5("line")).alias("line_hash"))
     )
     seen = lines.groupBy("line_hash").count().filter(F.col("count") >= min_docs).select("line_hash")
-    found = cut(lines.join(seen, "line_hash").distinct())
+    # Counts are stored before they are joined: with an exchange on both sides a hot line
+    # can be split over tasks.
+    found = cut(lines.join(cut(seen), "line_hash").distinct())
     spread = (
         found.select("line_hash", "doc_key").distinct()
         .groupBy("line_hash").count().filter(F.col("count") >= min_docs).select("line_hash")
     )
-    return found.join(spread, "line_hash", "left_semi").select("doc_key", "pos")
+    return found.join(cut(spread), "line_hash", "left_semi").select("doc_key", "pos")
 
 
 def drop_frequent_lines(

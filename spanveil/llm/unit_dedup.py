@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import kept, pick, restored, stored
+from spanveil.llm.common import cut, kept, pick, restored, stored
 
 # A unit starts with a character that is not white space.  A sentence is the part of a
 # line up to an end mark before white space.
@@ -99,7 +99,9 @@ def drop_repeated_units(
     )
     units = rows.select("rank", "doc_id", "content", F.posexplode(digests("text")).alias("pos", "unit"))
     firsts = units.groupBy("unit").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    again = units.withColumn("place", place).join(firsts.select("unit", "first"), "unit").filter(
+    # Stored, so that the join has an exchange on both sides and a hot unit can be split.
+    firsts = cut(firsts.select("unit", "first"))
+    again = units.withColumn("place", place).join(firsts, "unit").filter(
         F.col("place") != F.col("first")
     )
     found = stored(again.groupBy("rank", "doc_id", "content").agg(F.collect_set("pos").alias("repeated")), "repeated")
