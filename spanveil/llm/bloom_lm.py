@@ -37,7 +37,7 @@ SHARD_BITS = 1 << 23
 HASHES = 7
 # Words whose hashes a worker remembers.
 MEMO = 500_000
-ROWS = 512
+ROWS = 1_024
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,38 +174,71 @@ def filter_shards(grams: DataFrame, shards: int) -> DataFrame:
     )
 
 
+class Words(dict):
+    """Word (bytes) -> its number; by number its hash, what it adds to the base score (nan: rare), its level."""
+
+    def __init__(self, known: dict[bytes, float], look: Callable[[np.ndarray], np.ndarray] | None):
+        super().__init__()
+        self.known, self.look = known, look
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[tuple[int, float]] = []
+        self.hashes, self.logs, self.levels = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        self.new.append((xxhash.xxh64_intdigest(word, 42), self.known.get(word, math.nan)))
+        return found
+
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self) >= MEMO:
+            self.forget()
+        found = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if self.new:
+            hashes = np.array([h for h, _ in self.new], dtype=np.uint64)
+            self.hashes = np.concatenate((self.hashes, hashes))
+            self.logs = np.concatenate((self.logs, [x for _, x in self.new]))
+            if self.look:
+                self.levels = np.concatenate((self.levels, self.look(hashes)))
+            self.new = []
+        return found
+
+
 def score_frames(
     look: Callable[[np.ndarray], np.ndarray] | None, known: dict[bytes, float], shape: Shape, extra: list[str]
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Per text: its tokens, what the common words add to the base score, its rare words, its score."""
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        start = np.uint64(hashes[START.encode()])
+        words = Words(known, look)
+        start = np.uint64(xxhash.xxh64_intdigest(START.encode(), 42))
         for frame in batches(frames, ROWS):
-            n, sums, counts, rare, arrays = [], [], [], [], []
-            for text in frame["text"]:
-                tokens = tokens_of(text)
-                logs = [known.get(t) for t in tokens]
-                common = [x for x in logs if x is not None]
-                n.append(len(tokens))
-                sums.append(math.fsum(common))
-                counts.append(len(common))
-                rare.append([t.decode() for t, x in zip(tokens, logs, strict=True) if x is None])
-                if look:
-                    arrays.append(np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens)))
-            out = frame[extra].assign(n_tokens=n, common_sum=sums, common=counts, rare=rare, score=0.0)
-            if look and arrays:
-                word = np.concatenate(arrays)
-                first = np.concatenate(([0], np.cumsum(n)[:-1]))
+            listed = [tokens_of(text) for text in frame["text"]]
+            if not listed:
+                continue
+            n = np.array(list(map(len, listed)))
+            first = np.concatenate(([0], np.cumsum(n)[:-1]))
+            tokens = [t for own in listed for t in own]
+            at = words.numbers(tokens)
+            logs = words.logs[at]
+            rare = np.isnan(logs)
+            places = np.flatnonzero(rare)
+            unknown = [tokens[i].decode() for i in places.tolist()]
+            bounds = np.searchsorted(places, np.append(first, len(at))).tolist()
+            out = frame[extra].assign(
+                n_tokens=n, common_sum=np.add.reduceat(np.where(rare, 0.0, logs), first),
+                common=np.add.reduceat((~rare).astype(np.int64), first),
+                rare=[unknown[i:j] for i, j in zip(bounds, bounds[1:], strict=False)], score=0.0,
+            )
+            if look:
+                word, own = words.hashes[at], words.levels[at]
                 left = np.concatenate(([start], word[:-1]))
                 left[first] = start
-                own = look(word)
                 # What stands before the first word was seen once per text, as often as the end.
                 before = np.concatenate(([0], own[:-1]))
-                ends = look(np.array([hashes[END.encode()]], dtype=np.uint64))[0]
-                before[first] = ends
-                logs = log_probability(look(pairs_of(left, word)), before, own, shape)
-                out["score"] = np.add.reduceat(logs, first)
+                before[first] = own[-1]
+                out["score"] = np.add.reduceat(log_probability(look(pairs_of(left, word)), before, own, shape), first)
             yield out
     return score
 
