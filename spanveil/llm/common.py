@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from spanveil.session import ensure_checkpoint_dir
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 * 1024 * 1024
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,10 +57,23 @@ def digest(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(":", *lengths, *texts).cast("binary")))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, Python tasks get their rows in batches of few megabytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, stored in the folder of ``spark.checkpoint.dir`` and read from there."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -69,7 +84,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows as Parquet in the shared folder: columns that are not asked for stay unread."""
     folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    with small_batches(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
