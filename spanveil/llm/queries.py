@@ -82,7 +82,8 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = shared_folder(spark, "warc")
     write_archives(table(spark, folder, "pages"), archives)
-    pages = resolved(captures(read_records(spark, archives)))
+    # Sizes and digests come from the parsed payloads, which need not travel themselves.
+    pages = resolved(captures(read_records(spark, archives).drop("payload")))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

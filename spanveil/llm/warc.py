@@ -29,7 +29,8 @@ HTTP_HEAD = "HTTP/1.1 200 OK" + LINE + "Content-Type: text/html; charset=utf-8"
 FILE_BYTES = 32 * 1024 * 1024
 
 RECORD = ("record_id string, type string, concurrent_to string, refers_to string, uri string, "
-          "declared_digest string, payload binary, payload_digest string, fields map<string,string>")
+          "declared_digest string, payload binary, payload_bytes long, payload_digest string, fields map<string,string>")
+ANSWER = ("record_id", "type", "uri", "refers_to", "declared_digest", "payload_digest", "payload_bytes", "payload")
 
 
 def urn(*parts: Column) -> Column:
@@ -159,6 +160,7 @@ def records(stream: bytes) -> Iterator[tuple]:
             bare(head["warc-record-id"]), kind, bare(head.get("warc-concurrent-to")),
             bare(head.get("warc-refers-to")), head.get("warc-target-uri"),
             base64.b32decode(told).hex() if told else None, payload,
+            None if payload is None else len(payload),
             hashlib.sha1(payload).hexdigest() if kind == "response" else None, fields,
         )
 
@@ -201,7 +203,8 @@ def captures(archive: DataFrame) -> DataFrame:
     ``response`` is the response or revisit record.  A capture whose partners are not in
     the archives has nulls in their place, so no record is lost; records that repeat
     an identifier are taken once; of several requests to one response the smallest
-    identifier counts.
+    identifier counts.  An archive read without its ``payload`` column gives captures
+    without it, and no payload is moved.
     """
     def partners(kind: str) -> DataFrame:
         whole = F.struct("record_id", "uri", "fields") if kind == "metadata" else F.struct("record_id", "uri")
@@ -211,8 +214,7 @@ def captures(archive: DataFrame) -> DataFrame:
 
     answers = archive.filter(F.col("type").isin("response", "revisit")).dropDuplicates(["record_id"]).select(
         F.col("record_id").alias("capture_id"),
-        F.struct("record_id", "type", "uri", "refers_to", "declared_digest", "payload_digest",
-                 "payload").alias("response"),
+        F.struct(*[c for c in ANSWER if c in archive.columns]).alias("response"),
     )
     return answers.join(partners("request"), "capture_id", "full").join(partners("metadata"), "capture_id", "full")
 
@@ -226,7 +228,7 @@ def resolved(found: DataFrame) -> DataFrame:
         "capture_id", F.col("metadata.fields")["page_id"].try_cast("long").alias("page_id"),
         F.when(F.col("metadata.fields")["has_url"] == "true", F.col("response.uri")).alias("url"),
         F.col("response.type").alias("record_type"),
-        F.octet_length("response.payload").cast("long").alias("bytes"),
+        F.col("response.payload_bytes").alias("bytes"),
         F.coalesce("response.payload_digest", "response.declared_digest").alias("payload_digest"),
         F.col("response.refers_to").alias("target"),
     ))
