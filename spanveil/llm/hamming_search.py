@@ -118,7 +118,8 @@ def top_k(
                 )
                 flipped = part if flipped is None else flipped.unionByName(part)
         met = (
-            flipped.join(index, ["segment", "value"])
+            # Sizes are judged before the masks multiply the probes: never broadcast them.
+            flipped.hint("merge").join(index, ["segment", "value"])
             .select("query", "code", "n", "ids", distance("query", "code", words).alias("distance")).distinct()
         )
         known = met if best is None else best.unionByName(met).distinct()
