@@ -289,7 +289,7 @@ def lm_scores(
     held_out: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    least_pairs: int = 2,
+    least_pairs: int = 1,
     bases: tuple[float, float] = (1.25, 2.0),
     prior: float = 300.0,
     bits_per_entry: int = 10,
@@ -303,8 +303,8 @@ def lm_scores(
     learned from, null counts as false.  Tokens are the words in ASCII lower case and one
     end per text; a null text is empty and has the end alone.  ``base_score`` is the sum
     of log10((c+1)/(N+V+1)) with exact counts; ``score`` is the model's log10 probability
-    of the text.  Pairs seen fewer than ``least_pairs`` times are not stored and count as
-    unseen.  Repeated rows are learned from each time and score the same.  Without
+    of the text.  Pairs of every count are stored; with ``least_pairs`` above 1, those seen
+    fewer times are not and count as unseen.  Repeated rows are learned from each time and score the same.  Without
     training rows all words are unknown; an empty table gives an empty result.
     """
     rows = pick(docs, **{id_col: id_col}, text=text_col, **kept(keep)).withColumn(

@@ -70,6 +70,15 @@ def test_sent_filter_and_routed_grams_agree(spark, sf_dir):
     assert [s for _, s in sent] == pytest.approx([s for _, s in routed])
 
 
+def test_pairs_seen_once_are_learned(spark):
+    """The same words in the order of the only training text score better than in another."""
+    rng, words = np.random.default_rng(3), [f"w{i}" for i in range(50)]
+    other = [words[i] for i in rng.permutation(50)]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate((words, words, other))]
+    got = {r["doc_id"]: r["score"] for r in lm_scores(documents(spark, rows), F.col("doc_id") > 0).collect()}
+    assert got[0] == got[1] > got[2] + 1
+
+
 def test_filter_gives_back_quantised_counts(spark):
     rng = np.random.default_rng(1)
     grams = np.unique(rng.integers(-2**62, 2**62, 4000))
