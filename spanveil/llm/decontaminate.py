@@ -6,7 +6,8 @@ query.  As in block-max WAND, an item is looked at only if the passage holds one
 heavy terms (the light ones together stay below the threshold) and if the block bound of
 its neighbourhood reaches the threshold; then its score is exact.  All items above the
 threshold are verified: five-word shingles of the question part and of the answer part
-must be there.
+must be there, or an alignment of the part's words, so that one edit does not void a short
+part.  A part too short for a shingle counts with the other.
 """
 
 from __future__ import annotations
@@ -56,6 +57,27 @@ def shingles(words: Sequence, k: int) -> set[tuple]:
     return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} if len(words) else set()
 
 
+def infix_distance(part: list[int], region: list[int]) -> int:
+    """Fewest edits of words that turn ``part`` into some stretch of ``region``."""
+    full, top = (1 << len(part)) - 1, 1 << len(part) - 1
+    places: dict[int, int] = {}
+    for i, word in enumerate(part):
+        places[word] = places.get(word, 0) | 1 << i
+    vp, vn, score, best = full, 0, len(part), len(part)
+    for word in region:
+        eq = places.get(word, 0)
+        x = eq | vn
+        d0 = (((eq & vp) + vp) ^ vp) & full | eq
+        hp = vn | ~(d0 | vp) & full
+        hn = vp & d0
+        score += bool(hp & top) - bool(hn & top)
+        best = min(best, score)
+        hp, hn = hp << 1 & full, hn << 1 & full
+        vp = hn | ~(x | hp) & full
+        vn = hp & x
+    return best
+
+
 class ItemIndex:
     """Inverted index of test items with normalised BM25 weights and block bounds."""
 
@@ -98,8 +120,10 @@ class ItemIndex:
             top[t] = max(top.get(t, 0.0), w)
         self.is_heavy = np.zeros(len(self.terms) + 1, dtype=bool)
         self.is_heavy[list(self.heavy)] = True
+        # What must be there, in one of the ways: each part, or both as one if one of them is shorter than a shingle.
+        ways = [[parts] + [[parts[0] + parts[1]]] * (0 < min(map(len, parts)) < k) for parts in self.parts]
         self.verify = [
-            tuple((shingles(part, k), min(k, len(part))) for part in parts if part) for parts in self.parts
+            [[(shingles(part, k), min(k, len(part)), part) for part in way if part] for way in own] for own in ways
         ]
 
     def retrieved(self, own: np.ndarray) -> list[int]:
@@ -123,14 +147,18 @@ class ItemIndex:
         return found
 
     def overlaps(self, item: int, region: list[int], least: float) -> bool:
-        """Whether the shingles of every part of the item are in the region, up to ``least``."""
+        """Whether every part of the item is in the region, up to ``least`` of its shingles or words."""
         seen: dict[int, set[tuple]] = {}
-        for wanted, size in self.verify[item]:
+
+        def held(wanted: set[tuple], size: int, part: list[int]) -> bool:
             if size not in seen:
                 seen[size] = {tuple(region[i:i + size]) for i in range(len(region) - size + 1)}
-            if len(wanted & seen[size]) < least * len(wanted) - 1e-9:
-                return False
-        return True
+            if len(wanted & seen[size]) >= least * len(wanted) - 1e-9:
+                return True
+            edits = int((1 - least) * len(part) + 1e-9)
+            return edits > 0 and infix_distance(part, region) <= edits
+
+        return any(all(held(*part) for part in way) for way in self.verify[item])
 
     def found(self, own: np.ndarray, least: float) -> list[int]:
         """Numbers of the items that a text (term numbers, -1 for other words) holds."""
@@ -221,7 +249,9 @@ def decontaminate(
     """One row per input row: id, kept columns, ``items, contaminated``.
 
     ``items`` lists the ids of the test items whose question and answer the text holds
-    (``least`` of the ``k``-word shingles of each, in one stretch), ascending.  Words
+    (``least`` of the ``k``-word shingles of each, or all but the rest of its words by
+    edits, in one stretch), ascending.  If a part has fewer than ``k`` words, both
+    may also count as one.  Words
     are compared without outer marks and in lower case.  Null and empty items and texts
     match nothing; an item without a sentence end has its last quarter as answer; an
     item of one word has no answer part.  Repeated items are listed once, items without

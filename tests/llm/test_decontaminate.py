@@ -59,6 +59,39 @@ def test_question_alone_is_no_leak_and_long_items(spark):
         assert {r["doc_id"]: list(r["items"]) for r in got.collect()} == {1: [7], 2: [], 3: [], 4: [8], 5: [], 6: []}
 
 
+def test_infix_distance_as_cell_by_cell():
+    rng = random.Random(3)
+    for _ in range(300):
+        part = [rng.randrange(4) for _ in range(rng.randrange(1, 12))]
+        region = [rng.randrange(-1, 4) for _ in range(rng.randrange(0, 30))]
+        row = list(range(len(part) + 1))
+        best = row[-1]
+        for word in region:
+            before, row[0] = row[0], 0
+            for j, x in enumerate(part, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != word))
+            best = min(best, row[-1])
+        assert D.infix_distance(part, region) == best
+
+
+def test_items_with_one_edited_word_are_found(spark):
+    """Every item of five words or more, with each of its words in turn replaced or left out."""
+    bench = table(spark, "/root/testdata/sf0.01", "benchmark")
+    rng, rows, want = random.Random(9), [], {}
+    for item in bench.collect():
+        words = item["text"].split()
+        if len([w for w in words if D.normal(w)]) < 5:
+            continue
+        for at in range(len(words)):
+            for put in ([f"zz{rng.randrange(10**6)}"], []):
+                filler = [f"f{rng.randrange(10**6)}" for _ in range(60)]
+                want[len(rows)] = item["item_id"]
+                rows.append((len(rows), " ".join(filler[:30] + words[:at] + put + words[at + 1:] + filler[30:]), "en", "s", 1))
+    got = {r["doc_id"]: list(r["items"]) for r in decontaminate(documents(spark, rows), bench).collect()}
+    missed = [i for i in want if want[i] not in got[i]]
+    assert len(want) > 1000 and not missed, (len(missed), [rows[i][1] for i in missed[:3]])
+
+
 def test_odd_rows_and_empty_tables(spark):
     rows = odd_rows()
     bench = spark.createDataFrame([(1, "Same text here and again")], ITEMS)
