@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 * 1024 * 1024
+# A key is hot if it holds more than one of so many equal shares of all rows.
+HOT = 1_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -89,6 +91,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """All rows with the columns of their group, null where there is none; hot groups are not gathered.
+
+    ``groups`` (stored: it is read twice) has one row per key, with the number ``n`` of its
+    rows among ``total``.  Fewer than ``HOT`` keys can hold more than ``total / HOT`` rows
+    each; these are sent to the rows, all others meet them in a shuffle.
+    """
+    hot = F.broadcast(groups.filter(F.col("n") * HOT > total))
+    others = groups.filter(F.col("n") * HOT <= total)
+    near = rows.join(hot, key)
+    far = rows.filter(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(others, key, "left")
+    found = near.unionByName(far)
+    return found.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def batches(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
     """The frames again, of at most ``rows`` rows each."""
     for frame in frames:

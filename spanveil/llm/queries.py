@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from spanveil.llm.bloom_lm import lm_scores
 from spanveil.llm.common import shared_folder
 from spanveil.llm.decontaminate import decontaminate
+from spanveil.llm.digest_index import exact_dedup
+from spanveil.llm.filter_audit import filter_audit
 from spanveil.llm.hamming_search import top_k
 from spanveil.llm.line_dedup import drop_frequent_lines
+from spanveil.llm.mask_search import ranked_search
 from spanveil.llm.mixing import mix
 from spanveil.llm.order_minhash import near_duplicates
 from spanveil.llm.token_counts import token_counts
@@ -154,3 +157,110 @@ WITH codes AS (
 )
 SELECT query_id, rank, neighbor_id, distance FROM near WHERE rank <= 10
 """
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SQL["op11_filter_audit"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+         max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM texts LEFT JOIN marks USING (doc_id)
+), masks AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, mask
+), letters AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(l, bit)
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, s.step, bits[s.step] AS bit, coalesce(list_sum(bits[1:s.step - 1]), 0)::INTEGER AS gone
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step) s
+), counts AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (gone | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & bit <> 0 AND mask & gone = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & bit <> 0 AND mask & gone <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & bit <> 0 AND mask & gone = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & bit <> 0 AND mask & gone = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counts
+"""
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    # Half of the ids stand for what earlier runs have seen.
+    return exact_dedup(
+        table(spark, folder, "documents"),
+        historical=lambda doc_id: F.crc32(doc_id.cast("string").cast("binary")) % 2 == 0,
+    )
+
+
+SQL["op12_exact_dedup"] = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS own
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY own) AS keep_id, count(*) OVER (PARTITION BY own) AS group_size,
+       row_number() OVER (PARTITION BY own ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(own) AS text_sha256
+FROM t
+"""
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
+SQL["op13_lexical_search"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), asked AS (
+  SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), whole AS (
+  SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0
+), counts AS (
+  SELECT r, doc_id, len(terms) AS n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, terms, unnest(terms) AS term FROM docs) GROUP BY r, doc_id, len(terms), term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, whole GROUP BY term, n_docs
+), scores AS (
+  SELECT q, item_id, r, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term), whole
+  GROUP BY q, item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
