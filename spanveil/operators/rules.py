@@ -213,7 +213,7 @@ def extra_rules() -> list[Rule]:
         Rule("BEARER_TOKEN", "Bearer token", EXTRA, "[A-Za-z0-9._~+/-]{20,}={0,2}",
              prefix="Bearer ", score=0.9, hint="Bearer "),
         Rule("PRIVATE_KEY", "Private key block", EXTRA,
-             f"-----BEGIN {pem}.*?-----END {pem}", hint="PRIVATE KEY-----", multiline=True,
+             paired(f"-----BEGIN {pem}", f"-----END {pem}"), hint="PRIVATE KEY-----", multiline=True,
              line_pattern=f"-----BEGIN {pem}"),
         Rule("DB_URI", "Database connection URI", EXTRA,
              r"(?:postgresql|postgres|mysql)://[^\s:@/]+:[^\s@]+@[^\s]+", hint="://", needs="@",
@@ -232,6 +232,16 @@ def extra_rules() -> list[Rule]:
     return [replace(rule, enabled=False) for rule in rules]
 
 
+def paired(begin: str, end: str) -> str:
+    """Pattern of blocks between marks: a begin mark takes all up to the next end mark.
+
+    A block whose end mark is missing runs to the end of the text: what is cut off is no
+    less secret.  As such a block is the last one, no text is read twice, however many
+    begin marks it holds.
+    """
+    return f"(?:{begin})(?:.*?(?:{end})|.*)"
+
+
 def catalog() -> list[Rule]:
     """Every built-in rule."""
     return credential_rules() + pii_rules() + extra_rules()
