@@ -7,6 +7,7 @@ its row, so a policy table of any size needs no join.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -20,6 +21,23 @@ CATEGORIES = {PII: "entities", CREDENTIAL: "credential_types"}
 _DEFAULTS = {PII: V.PII_DEFAULTS, CREDENTIAL: V.CREDENTIAL_DEFAULTS}
 
 
+def typed(value: object, default: object) -> object:
+    """A saved scalar in the type of its default, also if it was saved as text; the default
+    where it cannot be read so."""
+    try:
+        if isinstance(default, bool):
+            words = {"true": True, "false": False}
+            return words[value.strip().lower()] if isinstance(value, str) else default if value is None else bool(value)
+        if isinstance(default, str):
+            return value if isinstance(value, str) else default
+        number = float(value)
+        if not math.isfinite(number):
+            return default
+        return max(1, int(number)) if isinstance(default, int) else number
+    except (KeyError, TypeError, ValueError):
+        return default
+
+
 @dataclass(frozen=True)
 class Policy:
     """One tenant's settings on the driver, used to choose rules for a plan."""
@@ -40,7 +58,8 @@ class Policy:
         except ValueError:
             values = {}
         values = values if isinstance(values, dict) else {}
-        known = {k: values[k] for k in cls.__dataclass_fields__ if k in values}
+        known = {k: values[k] for k in ("entities", "credential_types") if k in values}
+        known |= {k: typed(values.get(k), default) for k, default in V.SETTING_DEFAULTS.items()}
         for part, defaults in (("entities", V.PII_DEFAULTS),
                                ("credential_types", V.CREDENTIAL_DEFAULTS)):
             switches = known.get(part)
@@ -74,10 +93,12 @@ def merge_switches(saved: Column, defaults: dict[str, bool]) -> Column:
     return F.map_concat(kept, missing)
 
 
-def read_settings(table: DataFrame, settings: str = "settings") -> DataFrame:
+def read_settings(table: DataFrame, settings: str = "settings", keep_unknown: bool = False) -> DataFrame:
     """JSON settings text to typed columns, defaults filled in.
 
-    Text that is not JSON, or not an object, counts as nothing saved.
+    Text that is not JSON, or not an object, counts as nothing saved.  ``keep_unknown`` adds
+    ``other``, a map of the top-level keys that are not known here to their JSON text, which
+    ``settings_json`` writes back.
     """
     value = F.try_parse_json(F.col(settings))
 
@@ -91,9 +112,14 @@ def read_settings(table: DataFrame, settings: str = "settings") -> DataFrame:
         saved = F.try_variant_get(F.col("_v"), f"$.{part}", "map<string,boolean>")
         return merge_switches(saved, _DEFAULTS[category]).alias(part)
 
+    known = [*V.SETTING_DEFAULTS, *CATEGORIES.values()]
+    saved = F.try_variant_get(F.col("_v"), "$", "map<string,variant>")
+    other = F.transform_values(F.map_filter(saved, lambda k, _: ~k.isin(known)), lambda _, v: F.to_json(v))
+    none = F.create_map().cast("map<string,string>")
     keys = [c for c in table.columns if c != settings]
     return table.withColumn("_v", value).select(
         *keys,
+        *([F.coalesce(other, none).alias("other")] if keep_unknown else []),
         switches(PII),
         switches(CREDENTIAL),
         scalar("language", "string"),
@@ -167,12 +193,20 @@ def enabled_counts(settings: DataFrame, *keys: str) -> DataFrame:
 
 
 def settings_json(settings: DataFrame, *keys: str) -> DataFrame:
-    """Typed settings back to sorted JSON text, one row per tenant."""
+    """Typed settings, and unknown ones in ``other``, back to sorted JSON text, one row per tenant."""
     def ordered(part: str) -> Column:
-        return F.map_from_entries(F.array_sort(F.map_entries(part))).alias(part)
-
-    scalars = sorted(V.SETTING_DEFAULTS)
-    columns = {name: F.col(name) for name in scalars}
-    columns.update({part: ordered(part) for part in CATEGORIES.values()})
-    body = F.struct(*[columns[name].alias(name) for name in sorted(columns)])
-    return settings.select(*keys, F.to_json(body).alias("settings"))
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(part))))
+
+    def inner(value: Column, names: int) -> Column:
+        """JSON text without what encloses it: ``names`` characters before, one after."""
+        return F.substring(value, names + 1, F.length(value) - names - 1)
+
+    parts = {name: inner(F.to_json(F.struct(F.col(name).alias("v"))), 5) for name in V.SETTING_DEFAULTS}
+    parts |= {part: ordered(part) for part in CATEGORIES.values()}
+    pairs = F.map_from_arrays(F.array(*[F.lit(name) for name in parts]), F.array(*parts.values()))
+    if "other" in settings.columns:
+        pairs = F.map_concat(pairs, "other")
+    members = F.transform(F.array_sort(F.map_entries(pairs)), lambda e: F.concat(
+        inner(F.to_json(F.array(e["key"])), 1), F.lit(":"), e["value"]
+    ))
+    return settings.select(*keys, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("settings"))

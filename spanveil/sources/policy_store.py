@@ -1,4 +1,4 @@
-"""Settings tables: JSON text in, sorted JSON text out."""
+"""Settings on disk: JSON text in, sorted JSON text out, replaced as a whole or by tenant."""
 
 from __future__ import annotations
 
@@ -7,34 +7,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from spanveil.operators.policy import read_settings, settings_json
-from spanveil.session import ensure_checkpoint_dir
+from spanveil.sources import versions
 
 
-def load_settings(spark: SparkSession, path: str, key: str = "tenant") -> DataFrame:
-    """Saved settings, defaults filled in: what ``save_settings`` wrote, one row per ``key``,
-    or JSON files, of which each is one tenant named by its path.
-
-    Nothing saved gives no rows; ``Policy()`` holds the defaults.
-    """
+def saved_texts(spark: SparkSession, path: str, key: str = "tenant") -> DataFrame:
+    """``key, settings`` as saved here, or of JSON files, each one tenant named by its path."""
+    schema = f"{key} string, settings string"
+    if versions.log_of(spark, path):
+        return versions.read(spark, path, schema, key)
     try:
-        # Files are told apart by name before any of them is read.
-        name = F.col("_metadata.file_path")
-        files = spark.read.text(path, wholetext=True).filter(~name.endswith(".parquet")).select(
-            name.alias(key), F.col("value").alias("settings")
-        )
-        saved = (
-            spark.read.schema(f"{key} string, settings string")
-            .option("pathGlobFilter", "*.parquet").parquet(path)
+        return spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias(key), F.col("value").alias("settings")
         )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return read_settings(spark.createDataFrame([], f"{key} string, settings string"))
-    return read_settings(files.unionByName(saved))
+        return spark.createDataFrame([], schema)
+
+
+def load_settings(spark: SparkSession, path: str, key: str = "tenant") -> DataFrame:
+    """Saved settings, defaults filled in, unknown keys kept: one row per ``key``.
+
+    Nothing saved gives no rows; ``Policy()`` holds the defaults.
+    """
+    return read_settings(saved_texts(spark, path, key), keep_unknown=True)
+
+
+def _texts(settings: DataFrame, key: str) -> DataFrame:
+    texts = settings if "settings" in settings.columns else settings_json(settings, key)
+    return texts.select(key, "settings")
+
+
+def save_settings(settings: DataFrame, path: str, key: str = "tenant") -> int:
+    """Make these the only settings; they may come from ``path``.  Readers see the old table
+    until the new one is whole.  Keys are sorted inside each text."""
+    return versions.replace(_texts(settings, key), path)
 
 
-def save_settings(settings: DataFrame, path: str, *keys: str) -> None:
-    """Write the whole table anew, keys sorted inside each text; ``settings`` may come from ``path``."""
-    ensure_checkpoint_dir(settings.sparkSession)
-    texts = settings_json(settings, *keys).checkpoint()
-    texts.write.mode("overwrite").parquet(path)
+def update_settings(settings: DataFrame, path: str, key: str = "tenant") -> int:
+    """Save the settings of some tenants; those of all others are not touched or rewritten."""
+    return versions.change(_texts(settings, key), path)

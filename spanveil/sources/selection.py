@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.utils import AnalysisException
-
 from spanveil.functions.lines import is_nonblank
-from spanveil.session import ensure_checkpoint_dir
+from spanveil.sources import versions
 
 
 def selected_id(pointer: Column) -> Column:
@@ -39,27 +37,25 @@ def pointer_json(record_id: Column) -> Column:
     return F.to_json(F.struct(F.trim(record_id).alias("id")))
 
 
-def write_pointers(selected: DataFrame, path: str, by: str, record_id: str = "id") -> None:
-    """Write one pointer per owner; blank ids are not written."""
+def write_pointers(selected: DataFrame, path: str, by: str, record_id: str = "id") -> int:
+    """Make these the only pointers, one per owner; blank ids are not written."""
+    usable = selected.filter(is_nonblank(F.col(record_id)))
+    return versions.replace(usable.select(by, pointer_json(F.col(record_id)).alias("pointer")), path)
+
+
+def change_pointers(selected: DataFrame, path: str, by: str, record_id: str = "id") -> int:
+    """Write the pointers of these owners; all others stay as they are and are not rewritten."""
     usable = selected.filter(is_nonblank(F.col(record_id)))
-    usable.select(by, pointer_json(F.col(record_id)).alias("pointer")).write.mode(
-        "overwrite"
-    ).parquet(path)
+    return versions.change(usable.select(by, pointer_json(F.col(record_id)).alias("pointer")), path)
+
+
+def saved_pointers(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """``by, selected_id`` of every owner who has a pointer."""
+    return read_pointers(versions.read(spark, path, f"{by} string, pointer string", by), by)
 
 
 def select_record(spark: SparkSession, path: str, by: str, owner: str, record_id: str) -> None:
     """Point one owner at a record; a blank id is refused."""
     if not str(record_id).strip():
         raise ValueError("a record id is required")
-    row = spark.createDataFrame([(owner, record_id)], f"{by} string, id string").select(
-        by, pointer_json(F.col("id")).alias("pointer")
-    )
-    try:
-        others = spark.read.parquet(path).filter(~F.col(by).eqNullSafe(F.lit(owner)))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        others = row.limit(0)
-    # What is read must be stored elsewhere before the same path is written.
-    ensure_checkpoint_dir(spark)
-    others.select(by, "pointer").unionByName(row).checkpoint().write.mode("overwrite").parquet(path)
+    change_pointers(spark.createDataFrame([(owner, record_id)], f"{by} string, id string"), path, by)
