@@ -255,6 +255,17 @@ def scan(
     return finding_columns(rows, keys)
 
 
+def scan_lines(
+    lines: DataFrame, rules: Iterable[Rule], line: str = "line", lang: str | None = None
+) -> DataFrame:
+    """``scan`` for texts that are lines already (``line_no``, ``line`` and keys)."""
+    rules = line_rules(rules)
+    keys = [c for c in lines.columns if c not in (line, "line_no")]
+    spans = detect_spans(F.col(line), rules, F.col(lang) if lang else None)
+    rows = lines.filter(any_match(F.col(line), rules)).select(*keys, "line_no", F.inline(spans))
+    return finding_columns(rows, keys)
+
+
 def finding_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The keys and ``FINDING_COLUMNS`` of rows with one finding each."""
     shown = [

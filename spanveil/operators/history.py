@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanveil import fixed_values as V
 from spanveil.functions.labels import display_time, line_label, plural
 from spanveil.functions.lines import split_lines
+from spanveil.operators.joins import lookup_join
 
 SCAN_COLUMNS = ("timestamp", "source", "finding_count", "types", "text_length")
 REDACTION_COLUMNS = (
@@ -58,22 +59,44 @@ def redaction_records(
 _SALTS = 32
 
 
-def newest(records: DataFrame, limit: int, by: list[str], time: str, tie: str) -> DataFrame:
+def newest(
+    records: DataFrame, limit: int | str, by: list[str], time: str, tie: str,
+    default: int = V.SETTING_DEFAULTS["history_limit"],
+) -> DataFrame:
     """The newest ``max(1, limit)`` records of each owner.
 
-    Records are ranked within salted parts of an owner first and the survivors ranked
+    ``limit`` is one number for all, or the name of a column that holds the owner's own;
+    where that is null, ``default`` counts.  Records are ranked within salted parts of an owner first and the survivors ranked
     again, so an owner with a third of all records is spread over tasks.  For limits up
     to 1,000 Spark also cuts each input partition to the limit before the first shuffle.
     """
-    limit = max(1, int(limit))
+    if isinstance(limit, str):
+        most = F.greatest(F.lit(1), F.coalesce(F.col(limit).cast("int"), F.lit(default)))
+    else:
+        most = F.lit(max(1, int(limit)))
     order = [F.col(time).desc(), F.col(tie)]
     salted = records.withColumn("_salt", F.pmod(F.xxhash64(*by, tie), F.lit(_SALTS)))
     for owner in ([*by, "_salt"], by):
         rank = F.row_number().over(Window.partitionBy(*owner).orderBy(*order))
-        salted = salted.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+        salted = salted.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
     return salted.drop("_salt")
 
 
+def newest_by_settings(
+    records: DataFrame, settings: DataFrame, by: str, tenant: str, time: str, tie: str
+) -> DataFrame:
+    """The newest records of each owner, as many as its settings say (``history_limit``).
+
+    Owners without settings keep the default number, owners who keep no history nothing.
+    """
+    wanted = settings.select(
+        F.col(tenant).alias(by), F.col("history_limit").alias("_limit"), F.col("keep_history").alias("_keep")
+    )
+    known = lookup_join(records, wanted, [by], "left", [tie])
+    kept = known.filter(F.coalesce("_keep", F.lit(V.SETTING_DEFAULTS["keep_history"])))
+    return newest(kept, "_limit", [by], time, tie).select(*records.columns)
+
+
 def newest_overall(records: DataFrame, limit: int, time: str, tie: str) -> DataFrame:
     """The same for a single owner: top-k, merged from each partition's own top-k."""
     return records.orderBy(F.col(time).desc(), F.col(tie)).limit(max(1, int(limit)))
@@ -121,7 +144,7 @@ def resolve(records: DataFrame, pointers: DataFrame, by: str) -> DataFrame:
     state = last.join(selected, by, "full").join(known, [by, "selected_id"], "left")
     found = F.coalesce("_known", F.lit(False))
     note = (
-        F.when(F.col("_last").isNull(), "No valid redaction records were found.")
+        F.when(F.col("_last").isNull(), V.NOTE_NO_RECORDS)
         .when(found, F.lit(None).cast("string"))
         .when(F.col("selected_id").isNotNull(), V.NOTE_NOT_FOUND)
         .otherwise(V.NOTE_NO_SELECTION)
@@ -160,6 +183,30 @@ def review_header(resolved: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def aligned_lines(records: DataFrame, *keys: str) -> DataFrame:
+    """Original and redacted text line by line, equal lines beside each other.
+
+    ``review_lines`` (see ``redact``) tell the original lines without a line of their own on
+    the redacted side: '' stands beside them and they count as flagged.  All others follow
+    in order, so a replaced block of lines moves nothing below it.
+    """
+    every = F.sequence(F.lit(1), F.size("_original"))
+    folded = F.col("review_lines.folded")
+    beside = F.concat(
+        F.zip_with(F.array_except(every, folded), F.col("_redacted"), lambda n, b: F.struct(
+            n.alias("line_no"), F.coalesce(b, F.lit("")).alias("redacted_line"), F.lit(False).alias("folded"))),
+        F.transform(folded, lambda n: F.struct(
+            n.alias("line_no"), F.lit("").alias("redacted_line"), F.lit(True).alias("folded"))),
+    )
+    rows = records.withColumn("_original", split_lines(F.col("original_text"), "normalized")).withColumn(
+        "_redacted", split_lines(F.col("redacted_text"), "normalized")
+    ).select(*keys, F.col("review_lines.flagged").alias("_flagged"), "_original", F.inline(beside))
+    return rows.select(
+        *keys, "line_no", F.get("_original", F.col("line_no") - 1).alias("original_line"), "redacted_line",
+        (F.col("folded") | F.array_contains("_flagged", F.col("line_no"))).alias("flagged"),
+    )
+
+
 def side_by_side(records: DataFrame, *keys: str) -> DataFrame:
     """Original and redacted text line by line; the shorter side is filled with ''."""
     pairs = F.zip_with(

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil import fixed_values as V
-from spanveil.functions.arrays import empty_array
-from spanveil.functions.spans import SPAN, affected_lines, merge_spans, splice
+from spanveil.functions.arrays import empty_array, let
+from spanveil.functions.spans import SPAN, affected_lines, merge_spans, span_lines, splice
 from spanveil.operators.detect import any_match, document_spans
 from spanveil.operators.rules import Rule, with_threshold
 
@@ -50,6 +50,30 @@ def redact_spans(
     )
 
 
+def review_lines(text: Column, spans: Column) -> Column:
+    """``struct<flagged, folded>``: the lines in which a span starts, and those that replacing
+    the spans folds into the line before, both ascending.
+
+    A span that goes over a line break takes the break with it, so the line after the break
+    continues the line the span began on.  Lines as in a review: every kind of break counts.
+    """
+    def lines_of(bound: Column) -> Column:
+        first = span_lines(bound["text"], bound["spans"])
+        return let(first, lambda n: F.struct(F.array_distinct(n).alias("flagged"), folds(bound, n).alias("folded")))
+
+    def folds(bound: Column, first: Column) -> Column:
+        breaks = F.transform(bound["spans"], lambda s: F.length(F.regexp_replace(
+            F.substring(bound["text"], s["start"] + 1, s["end"] - s["start"]), r"[^\n]+", "")))
+        return F.flatten(F.zip_with(
+            first, breaks, lambda n, k: F.when(k > 0, F.sequence(n + 1, n + k)).otherwise(empty_array("int"))
+        ))
+
+    # One character stands for each kind of break, so places in the text stay as they are.
+    one = F.translate(F.regexp_replace(text, r"\r\n", "\u0002\n"), "\r", "\n")
+    points = F.transform(merge_spans(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return let(F.struct(one.alias("text"), points.alias("spans")), lines_of)
+
+
 def redact(
     docs: DataFrame,
     rules: Iterable[Rule],
@@ -59,11 +83,14 @@ def redact(
     lang: str | None = None,
     threshold: float = V.REDACT_THRESHOLD,
     key: str | None = None,
+    with_folds: bool = False,
 ) -> DataFrame:
     """Adds ``redacted``, ``span_count``, ``line_numbers`` and ``redacted_text``.
 
     Rows without a finding keep their text; null text stays null.  The whole job is
-    one pass over the rows.
+    one pass over the rows.  ``with_folds`` adds ``review_lines`` for a review: the
+    lines that are flagged there, and those that it cannot show beside a line of their own
+    because a replaced span took their break.
     """
     rules = with_threshold(rules, threshold)
     source = F.col(text)
@@ -77,12 +104,17 @@ def redact(
     clean = F.when(
         some, redact_spans(source, F.col("_spans"), mode, preserve_newlines, key)
     ).otherwise(source)
+    none = F.struct(no_lines.alias("flagged"), no_lines.alias("folded"))
+    shown = F.when(some, review_lines(source, F.col("_spans"))).otherwise(none)
+    if preserve_newlines:
+        shown = shown.withField("folded", no_lines)
     return found.select(
         *docs.columns,
         some.alias("redacted"),
         F.size("_spans").alias("span_count"),
         lines.alias("line_numbers"),
         clean.alias("redacted_text"),
+        *([shown.alias("review_lines")] if with_folds else []),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil import fixed_values as V
@@ -12,6 +12,7 @@ from spanveil.operators import alerts as A
 from spanveil.operators import detect, history, redact, report
 from spanveil.operators.policy import Policy
 from spanveil.operators.rules import Rule, catalog
+from spanveil.sources.text import read_lines
 
 
 def _in_language(docs: DataFrame, policy: Policy, lang: str | None) -> DataFrame:
@@ -30,6 +31,14 @@ def scan(
     return detect.scan(_in_language(docs, policy, lang), _rules(policy, rules), text, unit)
 
 
+def scan_files(
+    spark: SparkSession, path: str, policy: Policy = Policy(), rules: Iterable[Rule] | None = None,
+    glob: str | None = None,
+) -> DataFrame:
+    """Finding rows of text files of any size, which are read in splits."""
+    return detect.scan_lines(read_lines(spark, path, glob), _rules(policy, rules))
+
+
 def sensitive_lines(
     docs: DataFrame, policy: Policy = Policy(), rules: Iterable[Rule] | None = None,
     text: str = "text", lang: str | None = None,
@@ -77,9 +86,14 @@ def summary_records(summary: DataFrame, moment: Column, *keys: str) -> DataFrame
 
 
 def review(records: DataFrame, pointers: DataFrame, by: str) -> DataFrame:
-    """Line pairs of each owner's selected (or newest) record, flagged lines marked."""
+    """Line pairs of each owner's selected (or newest) record, flagged lines marked.
+
+    Records with ``review_lines`` (``redact(with_folds=True)``) keep equal lines beside each
+    other where a replaced block took line breaks with it.
+    """
     chosen = history.resolve(records, pointers, by)
-    return history.side_by_side(chosen, by, "id", "mode", "note")
+    pairs = history.aligned_lines if "review_lines" in records.columns else history.side_by_side
+    return pairs(chosen, by, "id", "mode", "note")
 
 
 def history_view(records: DataFrame, limit: int, by: str, tie: str) -> DataFrame:

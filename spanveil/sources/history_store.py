@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from spanveil import fixed_values as V
 from spanveil.functions.labels import clean_variant_numbers
 
 SCAN_SCHEMA = (
@@ -68,6 +69,17 @@ def parse_entries(texts: DataFrame, history: str = "history") -> DataFrame:
     return texts.select(*keys, F.posexplode(entries).alias("position", "entry"))
 
 
+def unusable(texts: DataFrame, history: str = "history") -> DataFrame:
+    """Histories of which no record can be read: other columns and ``reason``."""
+    shape = F.schema_of_variant(F.try_parse_json(history))
+    reason = (
+        F.when(F.col(history).isNull(), V.HISTORY_MISSING)
+        .when(shape.isNull(), V.HISTORY_INVALID)
+        .when(~shape.startswith("ARRAY"), V.HISTORY_NO_LIST)
+    )
+    return texts.withColumn("reason", reason).filter("reason is not null").drop(history)
+
+
 def _kind(entry: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(entry, path, "variant"))
 
