@@ -120,17 +120,40 @@ class ItemIndex:
             top[t] = max(top.get(t, 0.0), w)
         self.is_heavy = np.zeros(len(self.terms) + 1, dtype=bool)
         self.is_heavy[list(self.heavy)] = True
+        self.heavy_of: list[list[int]] = [[] for _ in self.owner]
+        for t, own in self.heavy.items():
+            for entry in own:
+                self.heavy_of[entry].append(t)
+        # The postings once more, by term, to bound all entries of a text at once.
+        entries.sort(key=lambda x: x[0])
+        self.posted = np.array([e for _, e, _ in entries], dtype=np.int64)
+        self.posted_weight = np.array([w for _, _, w in entries], dtype=np.float64)
+        self.posted_from = np.searchsorted(np.array([t for t, _, _ in entries]), np.arange(len(self.terms) + 1))
         # What must be there, in one of the ways: each part, or both as one if one of them is shorter than a shingle.
         ways = [[parts] + [[parts[0] + parts[1]]] * (0 < min(map(len, parts)) < k) for parts in self.parts]
         self.verify = [
             [[(shingles(part, k), min(k, len(part)), part) for part in way if part] for way in own] for own in ways
         ]
 
-    def retrieved(self, own: np.ndarray) -> list[int]:
-        """Entries whose score against the passage reaches the threshold."""
+    def possible(self, own: np.ndarray) -> np.ndarray:
+        """Entries whose score against all words of a text reaches the threshold: no passage of
+        the text can score higher."""
+        seen = np.zeros(len(self.terms) + 1, dtype=bool)
+        seen[own] = True
+        present = np.flatnonzero(seen[:-1])
+        starts, ends = self.posted_from[present], self.posted_from[present + 1]
+        if not len(present):
+            return present
+        sizes = ends - starts
+        at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        bound = np.bincount(self.posted[at], self.posted_weight[at], minlength=len(self.owner))
+        return np.flatnonzero(bound >= self.threshold - 1e-6)
+
+    def retrieved(self, own: np.ndarray, possible: set[int]) -> list[int]:
+        """Entries among the possible ones whose score against the passage reaches the threshold."""
         present = np.unique(own)
         present = present[present >= 0]
-        asked = {e for t in present[self.is_heavy[present]].tolist() for e in self.heavy[t]}
+        asked = {e for t in present[self.is_heavy[present]].tolist() for e in self.heavy[t]} & possible
         if not asked:
             return []
         inside, found, least = set(present.tolist()), [], self.threshold - 1e-9
@@ -149,6 +172,7 @@ class ItemIndex:
     def overlaps(self, item: int, region: list[int], least: float) -> bool:
         """Whether every part of the item is in the region, up to ``least`` of its shingles or words."""
         seen: dict[int, set[tuple]] = {}
+        words = set(region)
 
         def held(wanted: set[tuple], size: int, part: list[int]) -> bool:
             if size not in seen:
@@ -156,20 +180,24 @@ class ItemIndex:
             if len(wanted & seen[size]) >= least * len(wanted) - 1e-9:
                 return True
             edits = int((1 - least) * len(part) + 1e-9)
-            return edits > 0 and infix_distance(part, region) <= edits
+            # Each word of the part that the region does not hold is an edit.
+            return edits > 0 and sum(w not in words for w in part) <= edits and infix_distance(part, region) <= edits
 
         return any(all(held(*part) for part in way) for way in self.verify[item])
 
     def found(self, own: np.ndarray, least: float) -> list[int]:
         """Numbers of the items that a text (term numbers, -1 for other words) holds."""
-        places = np.flatnonzero(self.is_heavy[own])
-        if not len(places):
+        possible = set(self.possible(own).tolist())
+        if not possible:
             return []
+        asked = np.zeros(len(self.terms) + 1, dtype=bool)
+        asked[[t for entry in possible for t in self.heavy_of[entry]]] = True
+        places = np.flatnonzero(asked[own])
         at = places // STRIDE
         starts = np.unique(np.concatenate((at, np.maximum(at - 1, 0))))
         out: set[int] = set()
         for start in (starts * STRIDE).tolist():
-            for entry in self.retrieved(own[start:start + PASSAGE]):
+            for entry in self.retrieved(own[start:start + PASSAGE], possible):
                 item = self.owner[entry]
                 if item not in out:
                     size = sum(map(len, self.parts[item]))
