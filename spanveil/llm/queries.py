@@ -21,7 +21,7 @@ from spanveil.llm.order_minhash import near_duplicates
 from spanveil.llm.token_counts import token_counts
 from spanveil.llm.toxicity import toxicity_scores
 from spanveil.llm.unit_dedup import drop_repeated_units
-from spanveil.llm.warc import captures, read_records, resolved, write_archives
+from spanveil.llm.warc import read_captures, resolved, write_archives
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,8 +85,7 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = shared_folder(spark, "warc")
     write_archives(table(spark, folder, "pages"), archives)
-    # Sizes and digests come from the parsed payloads, which need not travel themselves.
-    pages = resolved(captures(read_records(spark, archives).drop("payload")))
+    pages = resolved(read_captures(spark, archives))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -10,13 +10,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import cut, digest, pick
+from spanveil.llm.common import BATCH_BYTES, cut, digest, pick
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -30,9 +30,21 @@ FILE_BYTES = 32 * 1024 * 1024
 
 RECORD = ("record_id string, type string, concurrent_to string, refers_to string, uri string, "
           "declared_digest string, payload binary, payload_bytes long, payload_digest string, fields map<string,string>")
+FIELDS = [field.split()[0] for field in RECORD.split(", ")]
 ANSWER = ("record_id", "type", "uri", "refers_to", "declared_digest", "payload_digest", "payload_bytes", "payload")
 
 
+# Parts of a capture and their columns.
+PARTS = {"request": ("record_id", "uri"), "response": ANSWER, "metadata": ("record_id", "uri", "fields")}
+CAPTURE_FIELDS = ["capture_id", *PARTS, "complete"]
+CAPTURE = (
+    "capture_id string, request struct<record_id:string,uri:string>, "
+    "response struct<record_id:string,type:string,uri:string,refers_to:string,declared_digest:string,"
+    "payload_digest:string,payload_bytes:long,payload:binary>, "
+    "metadata struct<record_id:string,uri:string,fields:map<string,string>>, complete boolean"
+)
+
+
 def urn(*parts: Column) -> Column:
     """A name in UUID form that follows from the parts."""
     h = F.lower(F.hex(digest(*parts)))
@@ -79,30 +91,34 @@ def write_archives(
     Of pages with equal payloads of ``least`` bytes or more, that with the largest id is
     written as response and the others as revisits that refer to it; smaller ones are
     all responses.  A null payload is an empty one; a null id counts as the smallest;
-    among equal ids one is chosen by a hash.  Rows equal in id, url and payload are one
-    page, written once.  An empty table writes archives without records.  Payloads of
+    among equal ids one is chosen by a hash.  Rows equal in id, url and payload are counted
+    and each is written: one of them as the page, the others as its repeats (revisits, or
+    responses if small).  An empty table writes archives without records.  Payloads of
     any length are written whole.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).select(
         "page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("content"),
     ).withColumn("page", urn(F.col("page_id"), F.col("url"), F.col("content")))
-    keys = rows.select("page", "page_id", "content", F.octet_length("html").alias("bytes")).distinct()
-    known = cut(keys)
+    known = cut(rows.groupBy("page", "page_id", "content", F.octet_length("html").alias("bytes")).agg(
+        F.count("*").alias("times")
+    ))
     first = known.filter(F.col("bytes") >= least).groupBy("content").agg(
-        F.max(F.struct("page_id", "page")).alias("first"), F.count("*").alias("n")
+        F.max(F.struct("page_id", "page")).alias("first"), F.sum("times").alias("n")
     ).filter("n > 1").select("content", F.col("first.page").alias("first"))
     # Narrow rows only meet on the content, of which one may be very common.
-    roles = known.join(first, "content", "left").select(
-        "page", "bytes", F.when(F.col("first") != F.col("page"), F.col("first")).alias("first")
-    )
+    roles = known.join(first, "content", "left").select("page", "times", "first")
     total = known.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     files = max(1, -(-total // file_bytes), rows.sparkSession.sparkContext.defaultParallelism)
     dealt = (
         rows.repartition(files, "page").dropDuplicates(["page"])
         .join(roles.repartition(files, "page"), "page")
     )
-    page = F.col("page")
+    # A page's repeats have names of their own; the first row keeps the page's.
+    dealt = dealt.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).withColumn(
+        "name", F.when(F.col("turn") == 1, F.col("page")).otherwise(urn(F.col("page"), F.col("turn")))
+    ).withColumn("first", F.when(F.col("first") != F.col("name"), F.col("first")))
+    page = F.col("name")
     answer, ask, about = urn(F.lit("response"), page), urn(F.lit("request"), page), urn(F.lit("metadata"), page)
     together = F.concat(F.lit("WARC-Concurrent-To: <urn:uuid:"), answer, F.lit(">"))
     http, revisit = F.lit("Content-Type: application/http"), F.col("first").isNotNull()
@@ -177,8 +193,59 @@ def unpacked(content: bytes) -> bytes:
     return b"".join(out)
 
 
+def assembled(stream: bytes) -> Iterator[tuple[str, dict, bool]]:
+    """The captures of one archive: identifier, records by part, and whether all parts are there.
+
+    A capture goes out as soon as it is whole; what is left at the end goes out in pieces.
+    """
+    open_: dict[str, dict] = {}
+    for row in records(stream):
+        kind = "response" if row[1] == "revisit" else row[1]
+        if kind not in PARTS:
+            continue
+        name = row[0] if kind == "response" else row[2] or row[0]
+        own = open_.setdefault(name, {})
+        if kind in own:
+            # A second record of a kind: the pieces are put in order over all archives.
+            yield name, {kind: row}, False
+            continue
+        own[kind] = row
+        if len(own) == len(PARTS):
+            yield name, open_.pop(name), True
+    for name, own in open_.items():
+        yield name, own, False
+
+
+def nested(parts: dict, kind: str) -> dict | None:
+    """One part of a capture as a struct of its type in ``CAPTURE``."""
+    if kind not in parts:
+        return None
+    row = dict(zip(FIELDS, parts[kind], strict=True))
+    return {c: row[c] for c in (ANSWER if kind == "response" else PARTS[kind])}
+
+
+def capture_rows(whole: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Whole captures with their payloads, or only identifiers and whether they are whole."""
+    def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                rows, held = [], 0
+                for name, parts, complete in assembled(unpacked(content)):
+                    if whole:
+                        rows.append((name, *[nested(parts, kind) for kind in PARTS], complete))
+                        held += len(parts["response"][6]) if "response" in parts else 0
+                    else:
+                        rows.append((name, complete))
+                    if len(rows) == 512 or held > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=CAPTURE_FIELDS if whole else CAPTURE_FIELDS[::4])
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=CAPTURE_FIELDS if whole else CAPTURE_FIELDS[::4])
+    return rows_of
+
+
 def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [field.split()[0] for field in RECORD.split(", ")]
+    names = FIELDS
     for frame in frames:
         for content in frame["content"]:
             rows: list[tuple] = []
@@ -219,6 +286,37 @@ def captures(archive: DataFrame) -> DataFrame:
     return answers.join(partners("request"), "capture_id", "full").join(partners("metadata"), "capture_id", "full")
 
 
+def read_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """``captures`` of the archives below ``folder``, whole payloads included.
+
+    Archives keep the records of a capture near each other, so most captures are assembled
+    where their archive is read and no payload is moved.  Identifiers that no single archive
+    has whole, or that several have, are found from identifiers alone; only their records
+    are joined across archives, under the rules of ``captures``.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    names = files.mapInPandas(capture_rows(False), "capture_id string, complete boolean")
+    scattered = cut(names.groupBy("capture_id").agg(
+        F.count("*").alias("n"), F.min("complete").alias("whole")
+    ).filter("n > 1 or not whole").select("capture_id"))
+    local = files.mapInPandas(capture_rows(True), CAPTURE)
+    if not scattered.head(1):
+        return local.drop("complete")
+    apart = local.join(scattered, "capture_id", "left_semi")
+
+    def pieces(kind: str) -> DataFrame:
+        """The records of one kind as ``captures`` takes them."""
+        own = {c: F.col(f"{kind}.{c}") for c in PARTS[kind]}
+        own |= {} if kind == "response" else {"type": F.lit(kind), "concurrent_to": F.col("capture_id")}
+        kinds = dict(field.split(" ", 1) for field in RECORD.split(", "))
+        return apart.filter(F.col(kind).isNotNull()).select(
+            *[own.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in FIELDS]
+        )
+
+    joined = captures(pieces("request").unionByName(pieces("response")).unionByName(pieces("metadata")))
+    return local.join(scattered, "capture_id", "left_anti").drop("complete").unionByName(joined)
+
+
 def resolved(found: DataFrame) -> DataFrame:
     """Captures as pages: a revisit has the size of the response that it refers to.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import collected, duck_rows
 from spanveil.llm.queries import SQL, op9_warc
-from spanveil.llm.warc import base32_sha1, captures, read_records, records, resolved, unpacked, write_archives
+from spanveil.llm.warc import base32_sha1, captures, read_captures, read_records, records, resolved, unpacked, write_archives
 
 PAGES = "page_id long, url string, html string"
 
@@ -41,7 +41,12 @@ def test_round_trip_of_odd_pages(spark, tmp_path):
 def test_repeated_rows_ties_and_empty_table(spark, tmp_path):
     same = "q" * 1500
     got = round_trip(spark, tmp_path / "a", [(1, "u", same)] * 3 + [(1, "v", same), (2, "w", "x")])
-    assert collected(got, "page_id", "record_type", "refers_to") == [(1, "response", None), (1, "revisit", 1), (2, "response", None)]
+    # One record set per row: five rows in, five captures out.
+    assert collected(got, "page_id", "record_type", "refers_to") == [
+        (1, "response", None), (1, "revisit", 1), (1, "revisit", 1), (1, "revisit", 1), (2, "response", None)]
+    small = round_trip(spark, tmp_path / "c", [(7, None, "z")] * 4 + [(None, "u", None)] * 2)
+    assert collected(small, "page_id", "record_type", "payload_bytes") == sorted(
+        [(7, "response", 1)] * 4 + [(None, "response", 0)] * 2, key=repr)
     assert round_trip(spark, tmp_path / "b", []).count() == 0
 
 
@@ -52,6 +57,39 @@ def test_lone_records_stay(spark, tmp_path):
     assert collected(alone.selectExpr("request IS NULL AS r", "metadata IS NULL AS m"), "r", "m") == [(True, False), (True, True)]
 
 
+def nested(df):
+    return sorted(map(str, df.select("capture_id", "request", "response", "metadata").collect()))
+
+
+@pytest.mark.parametrize("how", ["as written", "kinds apart", "twice", "some missing"])
+def test_captures_of_one_and_of_several_archives(spark, tmp_path, how):
+    rows = [(i, f"u{i}", "p" * (i * 400)) for i in range(8)] + [(8, "same", "p" * 2_800)]
+    write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "a"), file_bytes=4_000)
+    parts = [unpacked(p.read_bytes()) for p in sorted((tmp_path / "a").glob("*.gz"))]
+    blocks = [b"WARC/1.1" + x for x in b"".join(parts).split(b"WARC/1.1")[1:]]
+    files = {"as written": parts, "twice": parts * 2,
+             "kinds apart": [b"".join(x for x in blocks if kind in x.split(b"\r\n")[1]) for kind in (b"request", b"re", b"metadata")],
+             "some missing": [b"".join(blocks[1:-2])]}[how]
+    if how == "kinds apart":
+        files[1] = b"".join(x for x in blocks if x.split(b"\r\n")[1].endswith((b"response", b"revisit")))
+    (tmp_path / "b").mkdir()
+    for n, content in enumerate(files):
+        (tmp_path / "b" / f"{n}.gz").write_bytes(gzip.compress(content))
+    got = read_captures(spark, str(tmp_path / "b"))
+    assert nested(got) == nested(captures(read_records(spark, str(tmp_path / "b"))))
+    whole = got.filter("request is not null and response is not null and metadata is not null").count()
+    assert whole == (9 if how != "some missing" else 7)
+
+
+def test_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 1_200, 5), (2, "v", "x" * 1_200, 6)], PAGES + ", n long")
+    pages = pages.selectExpr("*", "n as a", "n as b", "n as c", "n as d").toDF(
+        "page_id", "url", "html", "first", "PAGE", "times", "turn", "Html")
+    write_archives(pages, str(tmp_path / "a"))
+    got = resolved(read_captures(spark, str(tmp_path / "a")))
+    assert collected(got, "page_id", "record_type", "refers_to") == [(1, "revisit", 2), (2, "response", None)]
+
+
 def test_parser():
     one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 8\r\n\r\nA: b\r\n\r\n\r\n\r\n"
     assert len(list(records(one + one))) == 2
