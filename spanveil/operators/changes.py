@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 64
+# Rows that a slice should hold, over all owners.
+SLICE_ROWS = 4_000_000
 
 
 def time_cuts(rows: DataFrame, time: str, slices: int = SLICES) -> list[str]:
@@ -17,7 +19,8 @@ def time_cuts(rows: DataFrame, time: str, slices: int = SLICES) -> list[str]:
     found = rows.agg(
         F.percentile_approx(time, shares, 1_000).cast("array<string>").alias("cuts")
     ).first()["cuts"]
-    return sorted(set(found or []))
+    # Shares ascend, so the values do: their order as text would not balance numbers.
+    return list(dict.fromkeys(found or []))
 
 
 def slice_number(value: Column, cuts: list[str], kind: str) -> Column:
@@ -40,17 +43,19 @@ def changes(
     tie: str,
     value: str,
     emit_first: bool = False,
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Rows whose ``value`` differs from the owner's row before, by ``time`` and ``tie``.
 
     An owner's first value is the baseline and is not reported unless ``emit_first``.
     Null values (a failed read) are skipped.  Each owner is cut into time slices of
-    even overall size; a slice's first row looks at the last value of the owner's
+    even overall size, as many as the rows ask for; a slice's first row looks at the last value of the owner's
     slice before, taken from a summary of at most ``slices`` rows per owner.
     """
     rows = rows.filter(F.col(value).isNotNull())
     kind = dict(rows.dtypes)[time]
+    if slices is None:
+        slices = max(SLICES, -(-rows.count() // SLICE_ROWS))
     cuts = time_cuts(rows, time, slices)
     marked = rows.withColumn("_slice", slice_number(F.col(time), cuts, kind)).withColumn(
         "_now", F.sha2(value, 256)

@@ -20,6 +20,8 @@ from spanveil.operators.joins import SALTS, lookup_join
 from spanveil.session import BROADCAST_ROWS, is_small
 
 WORD = r"[\p{L}\p{N}]+(?:['#_-][\p{L}\p{N}]+)*"
+# Words by which longer terms are looked up.
+HEAD = 3
 _PLACED = "struct<entity:string,start:int,end:int,score:double>"
 
 
@@ -40,19 +42,19 @@ def normalize_dictionary(terms: DataFrame) -> DataFrame:
     )
 
 
-def _runs(tokens: Column, longest: int) -> Column:
-    """Every run of 1..longest words as struct(at, n, term)."""
+def _runs(tokens: Column, lengths: list[int]) -> Column:
+    """Every run of one of these numbers of words as struct(at, n, term)."""
     def from_word(tokens: Column, index: Column) -> Column:
-        count = F.least(F.lit(longest), F.size(tokens) - index)
+        possible = [F.when(index + n <= F.size(tokens), F.lit(n)) for n in lengths]
         return F.transform(
-            F.sequence(F.lit(1), count),
+            F.array_compact(F.array(*possible)),
             lambda n: F.struct(
                 index.alias("at"), n.alias("n"),
                 F.array_join(F.slice(tokens, index + 1, n), " ").alias("term"),
             ),
         )
 
-    if longest == 1:
+    if lengths == [1]:
         return F.transform(
             tokens, lambda t, i: F.struct(i.alias("at"), F.lit(1).alias("n"), t.alias("term"))
         )
@@ -61,6 +63,17 @@ def _runs(tokens: Column, longest: int) -> Column:
     )
 
 
+def _started_runs(tokens: Column, starts: Column) -> Column:
+    """The runs that begin at known words, as struct(at, n, term)."""
+    def runs(bound: Column) -> Column:
+        inside = F.filter(bound["starts"], lambda s: s["at"] + s["n"] <= F.size(bound["tokens"]))
+        return F.transform(inside, lambda s: F.struct(
+            s["at"].alias("at"), s["n"].alias("n"),
+            F.array_join(F.slice(bound["tokens"], s["at"] + 1, s["n"]), " ").alias("term"),
+        ))
+    return let(F.struct(tokens.alias("tokens"), starts.alias("starts")), runs)
+
+
 def _place(line: Column, hits: Column) -> Column:
     """Hits (at, n, entity, score) of one line to spans, in position order."""
     placed = F.struct(
@@ -105,6 +118,35 @@ def _longest(spans: Column) -> Column:
     return let(spans, lambda s: fold_array(s, nothing, step, _PLACED)["out"])
 
 
+def _beside(lines: DataFrame, found: DataFrame, place: list[str]) -> DataFrame:
+    """Lines with what was found on them; null keys are keys too."""
+    renamed = found.withColumnsRenamed({c: f"_{c}" for c in place})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+    return lines.join(renamed, reduce(and_, same))
+
+
+def _long_hits(
+    lines: DataFrame, place: list[str], dictionary: DataFrame, broadcast_rows: int, salts: int
+) -> DataFrame:
+    """Hits of the terms of more than ``HEAD`` words: place and ``hit``."""
+    long = dictionary.filter(F.col("_words") > HEAD)
+    heads = long.select(
+        F.substring_index("term", " ", HEAD).alias("term"), F.col("_words").alias("_length")
+    ).distinct()
+    begun = lookup_join(
+        lines.select(*place, F.inline(_runs(words(F.col("line")), [HEAD]))), heads, ["term"], "inner",
+        [*place, "at"], broadcast_rows, salts,
+    )
+    starts = begun.groupBy(*place).agg(
+        F.collect_list(F.struct("at", F.col("_length").alias("n"))).alias("starts")
+    )
+    tried = _beside(lines, starts, place).select(
+        *place, F.inline(_started_runs(words(F.col("line")), F.col("starts")))
+    )
+    found = lookup_join(tried, long.drop("_words"), ["term"], "inner", [*place, "at"], broadcast_rows, salts)
+    return found.select(*place, F.struct("at", "n", "entity", "score").alias("hit"))
+
+
 def gazetteer_detect(
     docs: DataFrame,
     terms: DataFrame,
@@ -119,26 +161,34 @@ def gazetteer_detect(
     the text is not shuffled; a larger one is joined on salted runs of words (position
     and words only, so the line does not travel with them) and the hit lines are
     fetched again by key.  Hits are grouped per line, which a line bounds.
+
+    Only runs of up to ``HEAD`` words are made of every word.  Longer terms are looked up by
+    their first ``HEAD`` words, which also tell how long they are; runs of that length are
+    made where a term begins so, whatever the longest term is.
     """
     dictionary = normalize_dictionary(terms)
-    longest = dictionary.agg(F.max("_words")).first()[0] or 1
-    dictionary = dictionary.drop("_words")
+    kinds = dictionary.agg(
+        F.array_sort(F.collect_set(F.when(F.col("_words") <= HEAD, F.col("_words")))).alias("short"),
+        F.coalesce(F.max("_words") > HEAD, F.lit(False)).alias("long"),
+    ).first()
     lines = explode_lines(docs.select(*keys, text), text, skip_blank=True)
     place = [*keys, "line_no"]
-    runs = F.inline(_runs(words(F.col("line")), longest))
     hit = F.struct("at", "n", "entity", "score")
-    if is_small(dictionary, broadcast_rows):
-        found = lines.select(*place, "line", runs).join(F.broadcast(dictionary), "term")
+    runs = F.inline(_runs(words(F.col("line")), list(kinds["short"]) or [1]))
+    short = dictionary.filter(F.col("_words") <= HEAD).drop("_words")
+    small = is_small(dictionary.drop("_words"), broadcast_rows)
+    if small and not kinds["long"]:
+        found = lines.select(*place, "line", runs).join(F.broadcast(short), "term")
         per_line = found.groupBy(*place).agg(
             F.collect_list(hit).alias("hits"), F.first("line").alias("line")
         )
     else:
-        found = lookup_join(lines.select(*place, runs), dictionary, ["term"], "inner",
-                            [*place, "at"], broadcast_rows, salts)
-        hits = found.groupBy(*place).agg(F.collect_list(hit).alias("hits"))
-        found_at = hits.select(*[F.col(c).alias(f"_{c}") for c in place], "hits")
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
-        per_line = lines.join(found_at, reduce(and_, same)).select(*place, "line", "hits")
+        found = lookup_join(lines.select(*place, runs), short, ["term"], "inner", [*place, "at"], broadcast_rows, salts)
+        found = found.select(*place, hit.alias("hit"))
+        if kinds["long"]:
+            found = found.unionByName(_long_hits(lines, place, dictionary, broadcast_rows, salts))
+        hits = found.groupBy(*place).agg(F.collect_list("hit").alias("hits"))
+        per_line = _beside(lines, hits, place).select(*place, "line", "hits")
     rows = per_line.select(
         *place, "line", F.inline(_longest(_place(F.col("line"), F.col("hits"))))
     )

@@ -22,10 +22,19 @@ def iso_utc(moment: Column) -> Column:
     return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def scan_records(summary: DataFrame, moment: Column, source: Column, *keys: str) -> DataFrame:
-    """Metadata-only records from ``report.summarize``; the text never gets here."""
+def scan_records(
+    summary: DataFrame, moment: Column, source: Column, *keys: str, with_id: bool = False
+) -> DataFrame:
+    """Metadata-only records from ``report.summarize``; the text never gets here.
+
+    ``with_id`` adds ``id``, a digest of keys, time and source: a scan that is saved twice is
+    one record when the history is loaded.
+    """
+    parts = [F.col(k).cast("string") for k in keys]
+    name = F.sha2(F.concat_ws("\x1f", *parts, iso_utc(moment), source), 256).alias("id")
     return summary.select(
         *keys,
+        *([name] if with_id else []),
         iso_utc(moment).alias("timestamp"),
         source.alias("source"),
         F.col("line_type_count").alias("finding_count"),

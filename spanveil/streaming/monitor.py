@@ -58,7 +58,8 @@ def requested_redactions(
 ) -> DataFrame:
     """Redact a text when a request for it arrives no later than ``within`` after it.
 
-    Both streams carry a watermark, so texts nobody asks for leave the state.
+    A text comes out once, with its own columns, however often it is asked for.  Both streams
+    carry a watermark, so texts nobody asks for leave the state.
     """
     asked = requests.withWatermark(request_time, late).alias("r")
     held = texts.withWatermark(text_time, late).alias("t")
@@ -66,11 +67,7 @@ def requested_redactions(
     timely = (F.col(f"r.{request_time}") >= F.col(f"t.{text_time}")) & (
         F.col(f"r.{request_time}") <= F.col(f"t.{text_time}") + F.expr(f"INTERVAL {within}")
     )
-    joined = asked.join(held, [*same, timely], "inner")
-    columns = [F.col(f"t.{c}") for c in texts.columns]
-    if request_time not in texts.columns:
-        columns.append(F.col(f"r.{request_time}"))
-    return redact(joined.select(*columns), rules, text).filter("redacted")
+    return redact(held.join(asked, [*same, timely], "left_semi"), rules, text).filter("redacted")
 
 
 def _shortened(found: Column) -> Column:

@@ -1,7 +1,8 @@
 """Keyed state for streams: the last value seen, and the end of a pause.
 
-Only short columns reach the Python workers.  Rows of one key within a micro-batch
-are ordered by time and sequence; rows that arrive in a later batch come after them.
+Rows of one key within a micro-batch are gathered and ordered by time and sequence; rows that
+arrive in a later batch come after them.  Where one key may have most of the rows, or order
+is to follow event time, use ``ordered``, which keeps neither texts nor whole batches.
 """
 
 from __future__ import annotations
