@@ -146,8 +146,9 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(a, 0.0), b
 
 
-def name_of(doc_id: object, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{doc_id}\n{text}") >> 1
+def name_of(text: str) -> int:
+    """Names an example by its text alone, so equal texts score alike whatever their ids."""
+    return xxhash.xxh3_64_intdigest(text) >> 1
 
 
 def selected_terms(examples: DataFrame, least_chi2: float, max_terms: int) -> list[str]:
@@ -211,8 +212,9 @@ def toxicity_scores(
     hash of the id, and ``max_terms`` terms make the model; null labels and labels of
     unknown documents are not used, of repeated labels the largest counts.  ``evidence``
     lists the neighbours (id, similarity, label).  A text without a selected term (an
-    empty or null one too) scores by the share of label 1 among those without.  A document is never
-    its own neighbour.  Repeated rows score the same; without labels all score 0; an
+    empty or null one too) scores by the share of label 1 among those without.  The score is a function
+    of the text: examples of the same text are never its neighbours, so equal texts score the
+    same under whatever ids.  Texts of any length are read whole; without labels all score 0; an
     empty table gives an empty result.
     """
     rows = pick(docs, **{id_col: id_col}, text=text_col, **kept(keep)).withColumn(
@@ -242,7 +244,7 @@ def toxicity_scores(
             found = [features.counts(t) for t in frame["text"]]
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"], "label": frame["label"],
-                "name": [name_of(i, t) for i, t in zip(frame["doc_id"], frame["text"], strict=True)],
+                "name": [name_of(t) for t in frame["text"]],
                 "terms": [own for own, _ in found], "tf": [tf for _, tf in found],
             })
 
@@ -251,7 +253,7 @@ def toxicity_scores(
         id_type, StructField("label", LongType()), StructField("name", LongType()),
         StructField("terms", ArrayType(LongType())), StructField("tf", ArrayType(DoubleType())),
     ])
-    known = sorted(examples.mapInPandas(vectors, shape).collect(), key=lambda row: row["name"])
+    known = sorted(examples.mapInPandas(vectors, shape).collect(), key=lambda row: (row["name"], str(row["doc_id"])))
     own = [np.asarray(row["terms"], dtype=np.int64) for row in known]
     weight = [unit(o, np.asarray(row["tf"]), idf) for o, row in zip(own, known, strict=True)]
     y = np.array([row["label"] for row in known], dtype=float)
@@ -279,18 +281,18 @@ def toxicity_scores(
     ])
 
     @F.pandas_udf(result)
-    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         selected, idf, index, ids, slope, offset, empty, prior = sent.value
         features = Features(selected)
-        for names, texts in parts:
+        for texts in parts:
             scores, evidence = [], []
-            for doc_id, text in zip(names, texts, strict=True):
+            for text in texts:
                 own, tf = features.counts(text)
                 if not len(own):
                     scores.append(empty)
                     evidence.append([])
                     continue
-                best, similar = index.nearest(own, unit(own, tf, idf), k, name_of(doc_id, text))
+                best, similar = index.nearest(own, unit(own, tf, idf), k, name_of(text))
                 x = slope * logit(vote(index, best, similar, prior)) + offset
                 scores.append(1 / (1 + math.exp(-min(max(x, -30), 30))))
                 evidence.append([
@@ -299,7 +301,7 @@ def toxicity_scores(
                 ])
             yield pd.DataFrame({"score": scores, "evidence": evidence})
 
-    return rows.withColumn("found", score("doc_id", "text")).select(
+    return rows.withColumn("found", score("text")).select(
         F.col("doc_id").alias(id_col), *restored(keep), "held_out", "found.score",
         (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.evidence",
     )

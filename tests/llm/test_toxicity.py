@@ -73,6 +73,18 @@ def test_neighbours_are_those_of_brute_force():
         assert found == pytest.approx(similar[best])
 
 
+def test_equal_texts_score_alike_whatever_their_ids(spark):
+    rows, labels = made_up(150)
+    twice = rows + [(i + 10_000, *rest) for i, *rest in rows]
+    # Some copies are labelled too, also against each other.
+    labels = labels + [(i + 10_000, 1, 1 - t if i % 7 == 0 else t) for i, _, t in labels[::3]]
+    got = toxicity_scores(documents(spark, twice), spark.createDataFrame(labels, LABELS), remainder("doc_id", 5) == 0).collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert all(score[i] == score[i + 10_000] for i, *_ in rows)
+    text = {i: t for i, t, *_ in twice}
+    assert all(text[e["doc_id"]] != text[r["doc_id"]] for r in got for e in r["evidence"])
+
+
 def test_odd_rows_labels_and_empty_tables(spark):
     rows, labels = made_up(100)
     rows = [(i + 1000, *rest) for i, *rest in rows] + odd_rows()
