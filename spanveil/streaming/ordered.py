@@ -3,8 +3,10 @@
 Only keys, times and digests enter the state.  Rows are held by owner and time slice until
 the watermark has passed the slice, so a worker holds one slice of one owner at a time and
 rows that arrive late, but within the delay, take their place.  A closed slice hands on its
-own changes and what its ends look like; a second state per owner compares each slice's first
-value with the last one of the slice before.  Texts are joined back by key afterwards.
+own changes and what its ends look like; a second state compares each slice's first value
+with the last one of the owner's slice before.  Slices are an aggregation of the engine;
+only the second state calls Python, for a fixed number of groups of owners.  Texts are joined
+back by key afterwards.
 """
 
 from __future__ import annotations
@@ -12,63 +14,58 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from spanveil.functions.arrays import let
 
-class SliceChanges(StatefulProcessor):
-    """Holds the rows of one owner and slice; gives them in order once the slice is closed."""
 
-    def __init__(self, step: int, tie_type: str):
-        self.step, self.tie_type = step, tie_type
+SHARDS = 256
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", f"at long, tie {self.tie_type}, digest binary")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            own = zip(frame["at"].tolist(), frame["tie"].tolist(), frame["digest"])
-            self.rows.appendList(list(own))
-        self.handle.registerTimer((key[1] + 1) * self.step * 1_000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = sorted(((at, tie, bytes(digest)) for at, tie, digest in self.rows.get()), key=lambda row: row[:2])
-        out = [
-            (key[0], key[1], at, tie, digest, held[-1][2], n == 0)
-            for n, (at, tie, digest) in enumerate(held) if n == 0 or digest != held[n - 1][2]
-        ]
-        self.rows.clear()
-        yield pd.DataFrame(out, columns=["owner_key", "slice", "at", "tie", "digest", "last", "is_first"])
+def slice_changes(held: Column) -> Column:
+    """``at, tie, digest, last, is_first`` of the changes in a slice's rows, its first row included."""
+    def rows(ordered: Column) -> Column:
+        placed = F.transform(ordered, lambda row, i: F.struct(
+            row["at"].alias("at"), row["tie"].alias("tie"), row["digest"].alias("digest"),
+            F.get(ordered, F.size(ordered) - 1)["digest"].alias("last"), (i == 0).alias("is_first"),
+            F.coalesce(F.get(ordered, i - 1)["digest"] != row["digest"], F.lit(True)).alias("changed"),
+        ))
+        return F.filter(placed, lambda row: row["changed"])
 
-    def close(self) -> None:
-        pass
+    return let(F.array_sort(held), rows)
 
 
 class OwnerChanges(StatefulProcessor):
-    """Keeps the last digest of an owner's closed slices; one row per slice is compared with it."""
+    """Keeps the last digest of each owner's closed slices; one row per slice is compared with it.
+
+    Owners share a group, as a group costs several calls however few rows it has.
+    """
 
     def __init__(self, emit_first: bool):
         self.emit_first = emit_first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "digest binary")
+        self.last = handle.getMapState("last", "owner_key string", "digest binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         columns, heads = ["owner_key", "at", "tie"], []
         for frame in rows:
             heads.append(frame[frame["is_first"]])
             yield frame.loc[~frame["is_first"], columns]
-        ordered = pd.concat(heads).sort_values("slice")
-        known = self.last.exists()
-        before = bytes(self.last.get()[0]) if known else None
-        changed = []
-        for digest, last in zip(ordered["digest"], ordered["last"]):
-            changed.append(bytes(digest) != before if known else self.emit_first)
-            before, known = bytes(last), True
-        self.last.update((before,))
+        ordered = pd.concat(heads).sort_values(["owner_key", "slice"])
+        changed, owner, before = [], None, None
+        for name, digest, last in zip(ordered["owner_key"], ordered["digest"], ordered["last"]):
+            if name != owner:
+                if owner is not None:
+                    self.last.updateValue((owner,), (before,))
+                known = self.last.getValue((name,))
+                owner, before = name, None if known is None else bytes(known[0])
+            changed.append(self.emit_first if before is None else bytes(digest) != before)
+            before = bytes(last)
+        if owner is not None:
+            self.last.updateValue((owner,), (before,))
         yield ordered.loc[changed, columns]
 
     def close(self) -> None:
@@ -89,7 +86,6 @@ def changed_keys(
     """
     tie_type = dict(stream.dtypes)[tie]
     owner_type = dict(stream.dtypes)[by]
-    micros = step_seconds * 1_000_000
     rows = (
         stream.select(F.to_json(F.struct(F.col(by).alias("by"))).alias("owner_key"),
                       F.col(time).cast("timestamp").alias("event_time"), F.col(tie).alias("tie"),
@@ -97,15 +93,13 @@ def changed_keys(
         .filter("digest is not null and event_time is not null")
         .withWatermark("event_time", delay)
         .withColumn("at", F.unix_micros("event_time"))
-        .withColumn("slice", F.floor(F.col("at") / micros).cast("long"))
-    )
-    sliced = rows.groupBy("owner_key", "slice").transformWithStateInPandas(
-        statefulProcessor=SliceChanges(step_seconds, tie_type),
-        outputStructType=f"owner_key string, slice long, at long, tie {tie_type}, digest binary, last binary, "
-                         "is_first boolean",
-        outputMode="Append", timeMode="eventTime",
     )
-    changed = sliced.groupBy("owner_key").transformWithStateInPandas(
+    # Windows begin at multiples of their length since 1970.
+    sliced = rows.groupBy("owner_key", F.window("event_time", f"{step_seconds} seconds").alias("_window")).agg(
+        F.collect_list(F.struct("at", "tie", "digest")).alias("_held")
+    ).select("owner_key", F.unix_micros("_window.start").alias("slice"), F.inline(slice_changes(F.col("_held"))))
+    shard = F.pmod(F.xxhash64("owner_key"), F.lit(SHARDS)).cast("int")
+    changed = sliced.drop("changed").withColumn("shard", shard).groupBy("shard").transformWithStateInPandas(
         statefulProcessor=OwnerChanges(emit_first),
         outputStructType=f"owner_key string, at long, tie {tie_type}",
         outputMode="Append", timeMode="None",

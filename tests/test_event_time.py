@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanveil.operators.changes import changes
 from spanveil.operators.rules import catalog, only
 from spanveil.streaming import monitor as M
-from spanveil.streaming.ordered import changed_keys, with_texts
+from spanveil.streaming.ordered import changed_keys, slice_changes, with_texts
 from spanveil.streaming.state import prepare
 
 SCHEMA = "owner string, at timestamp, seq long, text string"
@@ -101,3 +101,22 @@ def test_history_shrinks_on_disk(spark, tmp_path):
     assert kept() == [("a", 11), ("b", 12)]
     M.compact_history(spark, out, "owner", "seq", limit=5)
     assert kept() == [("a", 11), ("b", 12)] and len(list((tmp_path / "out/kept").glob("save=*"))) == 1
+
+
+def test_changes_of_a_slice_are_columns(spark):
+    rows = [("a", 5, 2, b"x"), ("a", 1, 1, b"x"), ("a", 5, 1, b"y"), ("a", 9, 0, b"x"), ("b", 3, 0, b"z")]
+    held = spark.createDataFrame(rows, "owner string, at long, tie long, digest binary").groupBy("owner").agg(
+        F.collect_list(F.struct("at", "tie", "digest")).alias("held"))
+    found = held.select("owner", F.inline(slice_changes(F.col("held")))).orderBy("owner", "at", "tie").collect()
+    assert [(r["owner"], r["at"], r["tie"], bytes(r["digest"]), bytes(r["last"]), r["is_first"]) for r in found] == [
+        ("a", 1, 1, b"x", b"x", True), ("a", 5, 1, b"y", b"x", False), ("a", 5, 2, b"x", b"x", False),
+        ("b", 3, 0, b"z", b"z", True)]
+
+
+def test_many_owners_share_few_groups(spark, tmp_path):
+    rows = [(f"o{i % 700}", at(i), i, "xy"[i * 7 // 1_000 % 2]) for i in range(2_800)]
+    for part in range(2):
+        write(spark, str(tmp_path / "in"), rows[part * 1_400:(part + 1) * 1_400], part)
+    write(spark, str(tmp_path / "in"), [("beat", at(10**8), 0, "z")], 9)
+    found = run(spark, str(tmp_path / "in"), str(tmp_path / "out"), step_seconds=60)
+    assert keys_of(found) == keys_of(changes(spark.createDataFrame(rows, SCHEMA), "owner", "at", "seq", "text"))
