@@ -164,3 +164,19 @@ def test_text_sources(spark, tmp_path):
         texts.write_redacted(redacted, out, "doc_id", source_path=out + "/")
     texts.write_redacted(redacted, out, "doc_id")
     assert spark.read.parquet(out).first()["redacted_text"] == "<EMAIL_ADDRESS>"
+
+
+def test_switches_are_read_once(spark):
+    frame = spark.createDataFrame(
+        [("a", '{"entities": {"URL": true, "BADGE": true}, "credential_types": {"Unknown": true}}'),
+         ("a", '{"entities": {"URL": false, "US_SSN": true}}'), (None, "broken"), (None, None)],
+        "tenant string, settings string")
+    settings = policy.read_settings(frame)
+    plan = settings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.entities") == 1 and plan.count("$.credential_types") == 1
+    allowed = policy.allow_list(settings, "tenant")
+    assert "Union" not in allowed._jdf.queryExecution().optimizedPlan().toString()
+    rows = policy.policy_rows(settings, "tenant").filter("enabled and entity is not null")
+    wanted = rows.select("tenant", "entity").distinct().collect()
+    assert sorted(map(str, allowed.collect())) == sorted(map(str, wanted))
+    assert {"URL", "BADGE"} <= {r["entity"] for r in wanted if r["tenant"] == "a"}
