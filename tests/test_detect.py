@@ -169,3 +169,16 @@ def test_sensitive_lines_and_summary(spark):
     assert [(r["span_count"], r["line_type_count"], r["affected_lines"], r["leak"])
             for r in summary] == [(4, 3, 2, True), (0, 0, 0, False), (0, 0, 0, False)]
     assert "text" not in summary[0].asDict()
+
+
+def test_a_first_look_is_taken_once_and_no_pattern_holds_two_literals(spark):
+    frame = spark.createDataFrame([(1, "x")], "id int, text string")
+
+    def plan(column):
+        return frame.select(column.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+
+    rules = only(catalog(), *{rule.entity for rule in catalog()})
+    digits = next(r.hint_regex for r in rules if r.entity == "US_SSN")
+    assert plan(detect.detect_spans(F.col("text"), rules)).count(f", {digits})") == 1
+    assert "(?:ghp_" in plan(detect.any_match(F.col("text"), rules))
+    assert not re.search(r"\(\?:sk-[^,]*ghp_", plan(detect.any_match(F.col("text"), rules)))
