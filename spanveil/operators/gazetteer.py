@@ -1,14 +1,17 @@
 """Dictionary detection for names: people, places, organisations, groups.
 
-Only listed terms are found.  Lines become runs of 1..k words, runs are looked up by
-equality, and offsets are worked out only for lines that had a hit.
+Only listed terms are found.  Lines become runs of 1..k words, runs that pass a first look
+are looked up by equality, and offsets are worked out only for lines that had a hit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +20,15 @@ from spanveil.functions.labels import percent
 from spanveil.functions.lines import explode_lines
 from spanveil.functions.spans import place_pieces, regex_pieces
 from spanveil.operators.joins import SALTS, lookup_join
-from spanveil.session import BROADCAST_ROWS, is_small
+from spanveil.session import BROADCAST_ROWS, ensure_checkpoint_dir, is_small
 
 WORD = r"[\p{L}\p{N}]+(?:['#_-][\p{L}\p{N}]+)*"
 # Words by which longer terms are looked up.
 HEAD = 3
+# The first look: bits for each term, bits marked by a term, and the least and most bits of a
+# table (at most 32 MB are sent; a fuller table lets more runs pass, and the lookup stays exact).
+BITS, PROBES, LEAST, MOST = 16, 4, 1 << 16, 1 << 28
+_CHUNK = 1 << 15
 _PLACED = "struct<entity:string,start:int,end:int,score:double>"
 
 
@@ -118,6 +125,57 @@ def _longest(spans: Column) -> Column:
     return let(spans, lambda s: fold_array(s, nothing, step, _PLACED)["out"])
 
 
+def first_look(terms: DataFrame) -> Callable[[Column], Column]:
+    """Which of the given texts may stand in ``term``, as their places in the array: all that do,
+    and few others.  Terms mark bits of a table, which is sent."""
+    size = LEAST
+    count = terms.count()
+    while size < min(BITS * count, MOST):
+        size *= 2
+    key = F.xxhash64("term")
+    step = F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1))
+    probes = F.array(*[(key.bitwiseAND(F.lit(size - 1)) + step * i) % size for i in range(PROBES)])
+    chunks = terms.select(F.explode(probes).alias("bit")).groupBy(
+        F.floor(F.col("bit") / _CHUNK).alias("chunk")
+    ).agg(F.bitmap_construct_agg(F.col("bit") % _CHUNK).alias("bits"))
+    marks = np.zeros(size // 8, dtype=np.uint8)
+    for row in chunks.toLocalIterator():
+        start = row["chunk"] * _CHUNK // 8
+        marks[start:start + _CHUNK // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    sent = terms.sparkSession.sparkContext.broadcast(marks)
+
+    def look(hashes: pa.Array) -> pa.Array:
+        table, mask = sent.value, np.uint64(size - 1)
+        keys = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        lengths = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        kept = np.arange(len(keys))
+        for i in range(PROBES):
+            own = keys[kept]
+            bit = ((own & mask) + (own >> np.uint64(32) | np.uint64(1)) * np.uint64(i)) & mask
+            kept = kept[(table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        rows = np.searchsorted(ends, kept, side="right")
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(lengths)))))
+        places = kept - (ends - lengths)[rows]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32()))
+
+    # Nondeterministic only in name: no filter on the outcome repeats it.
+    told = F.arrow_udf(look, "array<int>").asNondeterministic()
+    return lambda texts: told(F.transform(texts, lambda text: F.xxhash64(text)))
+
+
+def _candidates(lines: DataFrame, place: list[str], terms: DataFrame, lengths: list[list[int]]) -> DataFrame:
+    """Lines with runs of these lengths that pass the first look: place, ``line``, ``runs``; stored, as both the
+    lookup and the placing read them."""
+    ensure_checkpoint_dir(lines.sparkSession)
+    made = let(words(F.col("line")), lambda tokens: F.concat(*[_runs(tokens, some) for some in lengths]))
+    runs = lines.select(*place, "line", made.alias("runs"))
+    told = runs.select(*place, "line", "runs", first_look(terms)(F.col("runs.term")).alias("kept"))
+    return told.filter(F.size("kept") > 0).select(
+        *place, "line", F.transform("kept", lambda i: F.get(F.col("runs"), i)).alias("runs")
+    ).checkpoint()
+
+
 def _beside(lines: DataFrame, found: DataFrame, place: list[str]) -> DataFrame:
     """Lines with what was found on them; null keys are keys too."""
     renamed = found.withColumnsRenamed({c: f"_{c}" for c in place})
@@ -125,22 +183,26 @@ def _beside(lines: DataFrame, found: DataFrame, place: list[str]) -> DataFrame:
     return lines.join(renamed, reduce(and_, same))
 
 
+def _heads(dictionary: DataFrame) -> DataFrame:
+    """The first words of the terms of more than ``HEAD`` words, with their lengths."""
+    return dictionary.filter(F.col("_words") > HEAD).select(
+        F.substring_index("term", " ", HEAD).alias("term"), F.col("_words").alias("_length")
+    ).distinct()
+
+
 def _long_hits(
     lines: DataFrame, place: list[str], dictionary: DataFrame, broadcast_rows: int, salts: int
 ) -> DataFrame:
     """Hits of the terms of more than ``HEAD`` words: place and ``hit``."""
     long = dictionary.filter(F.col("_words") > HEAD)
-    heads = long.select(
-        F.substring_index("term", " ", HEAD).alias("term"), F.col("_words").alias("_length")
-    ).distinct()
     begun = lookup_join(
-        lines.select(*place, F.inline(_runs(words(F.col("line")), [HEAD]))), heads, ["term"], "inner",
+        lines.select(*place, F.inline("runs")).filter(F.col("n") == HEAD), _heads(dictionary), ["term"], "inner",
         [*place, "at"], broadcast_rows, salts,
     )
     starts = begun.groupBy(*place).agg(
         F.collect_list(F.struct("at", F.col("_length").alias("n"))).alias("starts")
     )
-    tried = _beside(lines, starts, place).select(
+    tried = _beside(lines.drop("runs"), starts, place).select(
         *place, F.inline(_started_runs(words(F.col("line")), F.col("starts")))
     )
     found = lookup_join(tried, long.drop("_words"), ["term"], "inner", [*place, "at"], broadcast_rows, salts)
@@ -158,9 +220,10 @@ def gazetteer_detect(
     """Findings for listed terms: keys, line_no, entity, start, end, score, confidence, match.
 
     ``keys`` identify a text.  A dictionary of checked size goes to every executor and
-    the text is not shuffled; a larger one is joined on salted runs of words (position
-    and words only, so the line does not travel with them) and the hit lines are
-    fetched again by key.  Hits are grouped per line, which a line bounds.
+    the text is not shuffled; a larger one marks bits of a table that is sent, and only runs
+    whose bits are marked are joined, salted (position and words only, so the line does not
+    travel with them); lines with such runs are stored and fetched again by key.  Hits are
+    grouped per line, which a line bounds.
 
     Only runs of up to ``HEAD`` words are made of every word.  Longer terms are looked up by
     their first ``HEAD`` words, which also tell how long they are; runs of that length are
@@ -174,21 +237,27 @@ def gazetteer_detect(
     lines = explode_lines(docs.select(*keys, text), text, skip_blank=True)
     place = [*keys, "line_no"]
     hit = F.struct("at", "n", "entity", "score")
-    runs = F.inline(_runs(words(F.col("line")), list(kinds["short"]) or [1]))
     short = dictionary.filter(F.col("_words") <= HEAD).drop("_words")
     small = is_small(dictionary.drop("_words"), broadcast_rows)
     if small and not kinds["long"]:
+        runs = F.inline(_runs(words(F.col("line")), list(kinds["short"]) or [1]))
         found = lines.select(*place, "line", runs).join(F.broadcast(short), "term")
         per_line = found.groupBy(*place).agg(
             F.collect_list(hit).alias("hits"), F.first("line").alias("line")
         )
     else:
-        found = lookup_join(lines.select(*place, runs), short, ["term"], "inner", [*place, "at"], broadcast_rows, salts)
+        listed, lengths = short.select("term"), [list(kinds["short"]) or [1]]
+        if kinds["long"]:
+            listed = listed.unionByName(_heads(dictionary).select("term"))
+            lengths += [[HEAD]] if HEAD not in lengths[0] else []
+        lines = _candidates(lines, place, listed, lengths)
+        found = lookup_join(
+            lines.select(*place, F.inline("runs")), short, ["term"], "inner", [*place, "at"], broadcast_rows, salts)
         found = found.select(*place, hit.alias("hit"))
         if kinds["long"]:
             found = found.unionByName(_long_hits(lines, place, dictionary, broadcast_rows, salts))
         hits = found.groupBy(*place).agg(F.collect_list("hit").alias("hits"))
-        per_line = _beside(lines, hits, place).select(*place, "line", "hits")
+        per_line = _beside(lines.drop("runs"), hits, place).select(*place, "line", "hits")
     rows = per_line.select(
         *place, "line", F.inline(_longest(_place(F.col("line"), F.col("hits"))))
     )

@@ -150,3 +150,20 @@ def test_changed_rows_keep_their_columns(spark, tmp_path):
     frame.write.parquet(str(tmp_path / "in"))
     stream = M.read_texts(spark, str(tmp_path / "in"), frame.schema)
     assert changed_rows(stream, "owner", "ts", "id", "text").columns == frame.columns
+
+
+@pytest.mark.parametrize("lengths", [("b c",), ("b c", "d e f g h")])
+def test_dictionary_moves_only_runs_that_may_be_listed(spark, lengths):
+    from spanveil.operators import gazetteer as G
+
+    texts = [(i, f"a{i} b c x{i} d e f g h\n" + " ".join(f"w{i}x{j}" for j in range(200))) for i in range(20)]
+    docs = spark.createDataFrame([*texts, (None, "b C"), (99, None), (100, "")], "id int, text string")
+    terms = spark.createDataFrame([(t, "X", 0.5) for t in lengths], "term string, entity string, score double")
+    lines = G.explode_lines(docs, "text", skip_blank=True)
+    heads = [(" ".join(t.split()[:G.HEAD]),) for t in lengths]
+    kept = G._candidates(lines, ["id", "line_no"], spark.createDataFrame(heads, "term string"), [[1, 2, 3]])
+    moved = kept.select("id", F.inline("runs"))
+    assert kept.count() == 21 and moved.count() <= 21 * len(lengths) + 20
+    got = G.gazetteer_detect(docs, terms, ["id"], broadcast_rows=0, salts=2)
+    want = sorted([(i, t) for i in range(20) for t in lengths], key=str) + [(None, "b C")]
+    assert sorted(((r["id"], r["match"]) for r in got.collect()), key=str) == sorted(want, key=str)
