@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,13 @@ MEMO = 500_000
 ROWS = 1_024
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+# The seed of Spark's xxhash64, and the primes of that hash.
+SEED = 42
+XXH = tuple(map(np.uint64, (
+    11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261,
+)))
+# Grams that go to the shards of the filter in one row per shard.
+SENT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -59,12 +68,79 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        found = xxhash.xxh64_intdigest(word, 42)
+        found = xxhash.xxh64_intdigest(word, SEED)
         if len(word) <= 64:
             self[word] = found
         return found
 
 
+def turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """``Hashes`` of an array of words, one length of less than 32 bytes at a time."""
+    _, offsets, data = words.buffers()
+    starts = np.frombuffer(offsets, dtype=np.int64)[words.offset:words.offset + len(words) + 1]
+    text = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)
+    starts, sizes = starts[:-1], np.diff(starts)
+    out = np.empty(len(words), dtype=np.uint64)
+    order = np.argsort(sizes, kind="stable")
+    edges = np.searchsorted(sizes[order], np.arange(33))
+    for size in np.flatnonzero(np.diff(edges)).tolist():
+        own = order[edges[size]:edges[size + 1]]
+        cells = np.ascontiguousarray(text[starts[own][:, None] + np.arange(size)])
+        h = np.full(len(own), SEED + size, dtype=np.uint64) + XXH[4]
+        at = 0
+        for at in range(8, size + 1, 8):
+            lane = np.ascontiguousarray(cells[:, at - 8:at]).view("<u8")[:, 0]
+            h = turned(h ^ turned(lane * XXH[1], 31) * XXH[0], 27) * XXH[0] + XXH[3]
+        if size - at >= 4:
+            lane = np.ascontiguousarray(cells[:, at:at + 4]).view("<u4")[:, 0].astype(np.uint64)
+            h = turned(h ^ lane * XXH[0], 23) * XXH[1] + XXH[2]
+            at += 4
+        for i in range(at, size):
+            h = turned(h ^ cells[:, i].astype(np.uint64) * XXH[4], 11) * XXH[0]
+        h = (h ^ (h >> np.uint64(33))) * XXH[1]
+        h = (h ^ (h >> np.uint64(29))) * XXH[2]
+        out[own] = h ^ (h >> np.uint64(32))
+    for i in order[edges[32]:].tolist():
+        out[i] = xxhash.xxh64_intdigest(text[starts[i]:starts[i] + sizes[i]].data, SEED)
+    return out
+
+
+def slices(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches again, of 1 to ``ROWS`` rows each."""
+    for batch in given:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different tokens of the texts, the place there of every token, how many each text has.
+
+    As ``tokens_of``, but only different words are handled one by one."""
+    # Copied, as casts and splits go wrong on arrays that are a slice of another one.
+    texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    listed = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = listed.flatten()
+    distinct = words.dictionary_encode()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    n = np.bincount(pc.list_parent_indices(listed).to_numpy()[full], minlength=len(texts)) + 1
+    at = np.full(n.sum(), len(distinct.dictionary), dtype=np.int64)
+    inner = np.ones(len(at), dtype=bool)
+    inner[np.cumsum(n) - 1] = False
+    at[inner] = distinct.indices.to_numpy()[full]
+    return pa.concat_arrays([distinct.dictionary, pa.array([END], pa.large_string())]), at, n
+
+
+def before(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What stands before each token; ``first`` are the places of the first token of each text."""
+    left = np.concatenate((tokens[:1], tokens[:-1]))
+    left[first] = np.uint64(xxhash.xxh64_intdigest(START.encode(), SEED))
+    return left
+
+
 def tokens_of(text: str) -> list[bytes]:
     """Words between ASCII white space with A-Z in lower case, then the end."""
     found = text.encode().lower().split()
@@ -73,8 +149,7 @@ def tokens_of(text: str) -> list[bytes]:
 
 
 def pairs_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    turned = (right << np.uint64(23)) | (right >> np.uint64(41))
-    return left * GOLDEN ^ turned
+    return left * GOLDEN ^ turned(right, 23)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,11 +162,15 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(grams ^ GOLDEN) % np.uint64(shards)).astype(np.int64)
 
 
-def bits_of(grams: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
-    """The bit inside its shard that probe ``probe`` of a gram at ``level`` looks at."""
+def walk_of(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of a gram at ``level`` begin, and the step from one to the next."""
     h = mixed(grams + np.asarray(level, dtype=np.uint64) * GOLDEN)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return ((h + np.uint64(probe) * step) & np.uint64(SHARD_BITS - 1)).astype(np.int64)
+    return h, (h >> np.uint64(32)) | np.uint64(1)
+
+
+def bit_at(h: np.ndarray) -> np.ndarray:
+    """The bit inside its shard that a probe looks at."""
+    return (h & np.uint64(SHARD_BITS - 1)).astype(np.int64)
 
 
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -108,12 +187,16 @@ def estimates(found: np.ndarray, base: float) -> np.ndarray:
 def probed(bits: np.ndarray, grams: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The level of each gram; ``start`` is the first byte of its shard in ``bits``."""
     found = np.zeros(len(grams), dtype=np.int64)
-    active, level = np.arange(len(grams)), 0
+    active, first, level = np.arange(len(grams)), start.astype(np.int64) * 8, 0
     while len(active):
         level += 1
-        for probe in range(HASHES):
-            bit = bits_of(grams[active], level, probe)
-            active = active[(bits[start[active] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+        h, step = walk_of(grams, level)
+        for _ in range(HASHES):
+            bit = first + bit_at(h)
+            there = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            if not there.all():
+                active, first, grams, h, step = (x[there] for x in (active, first, grams, h, step))
+            h = h + step
         found[active] = level
     return found
 
@@ -127,119 +210,107 @@ def looked_up(bits: np.ndarray, shards: int) -> Callable[[np.ndarray], np.ndarra
 
 def log_probability(pair: np.ndarray, left: np.ndarray, word: np.ndarray, shape: Shape) -> np.ndarray:
     """log10 of the smoothed probability, from the levels of a pair, its left and its right word."""
-    right = estimates(word, shape.bases[0])
-    context = estimates(left, shape.bases[0])
-    both = np.minimum(estimates(pair, shape.bases[1]), np.minimum(context, np.maximum(right, 1)))
+    def read(level: np.ndarray, base: float) -> np.ndarray:
+        return estimates(np.arange(level.max(initial=0) + 1), base)[level]
+
+    right, context = read(word, shape.bases[0]), read(left, shape.bases[0])
+    both = np.minimum(read(pair, shape.bases[1]), np.minimum(context, np.maximum(right, 1)))
     word_p = (right + 1) / (shape.tokens + shape.types + 1)
     return np.log10((both + shape.prior * word_p) / (context + shape.prior))
 
 
 def pair_counts(train: DataFrame) -> DataFrame:
     """``gram, n`` of all word pairs of the texts, summed per batch before the shuffle."""
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        start = hashes[START.encode()]
-        for frame in batches(frames, ROWS):
-            grams = []
-            for text in frame["text"]:
-                tokens = tokens_of(text)
-                own = np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-                grams.append(pairs_of(np.concatenate(([np.uint64(start)], own[:-1])), own))
-            if grams:
-                seen, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pd.DataFrame({"gram": seen.view(np.int64), "n": n})
-    return train.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def count(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(given):
+            words, at, n = coded(batch["text"])
+            own = hashes_of(words)[at]
+            seen, times = np.unique(pairs_of(before(own, np.cumsum(n) - n), own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(times)], ["gram", "n"])
+    return train.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def filter_shards(grams: DataFrame, shards: int) -> DataFrame:
-    """``shard, bits`` of the filter; ``grams`` has ``gram, level``. One task makes one shard."""
+    """``shard, bits`` of the filter; ``grams`` has ``gram, level``. One task makes one shard.
+
+    Grams go to their shard many in a row, as bytes.
+    """
+    def packed(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        own = pd.concat(frames)["gram"].to_numpy().view(np.uint64)
+        top = pd.concat(frames)["level"].to_numpy().astype(np.uint8)
+        shard = shard_of(own, shards)
+        order = np.argsort(shard, kind="stable")
+        own, top, shard = own[order], top[order], shard[order]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)])).tolist()
+        parts = list(zip(edges, edges[1:], strict=False))
+        return pd.DataFrame({
+            "shard": shard[edges[:-1]], "grams": [own[i:j].tobytes() for i, j in parts],
+            "levels": [top[i:j].tobytes() for i, j in parts],
+        })
+
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for frame in frames:
-            own = frame["gram"].to_numpy().view(np.uint64)
-            yield frame.assign(shard=shard_of(own, shards))
+            if len(frame):
+                held.append(frame)
+            if sum(map(len, held)) >= SENT:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(SHARD_BITS // 8, dtype=np.uint8)
-        grams, top = frame["gram"].to_numpy().view(np.uint64), frame["level"].to_numpy()
+        grams = np.frombuffer(b"".join(frame["grams"]), dtype=np.uint64)
+        top = np.frombuffer(b"".join(frame["levels"]), dtype=np.uint8)
         for level in range(1, int(top.max()) + 1):
-            own = grams[top >= level]
-            for probe in range(HASHES):
-                bit = bits_of(own, level, probe)
+            h, step = walk_of(grams[top >= level], level)
+            for _ in range(HASHES):
+                bit = bit_at(h)
                 np.bitwise_or.at(bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+                h = h + step
         return pd.DataFrame({"shard": [int(frame["shard"].iat[0])], "bits": [bits.tobytes()]})
 
     return (
-        grams.mapInPandas(place, "gram long, level long, shard long")
+        grams.mapInPandas(place, "shard long, grams binary, levels binary")
         .groupBy("shard").applyInPandas(build, "shard long, bits binary")
     )
 
 
-class Words(dict):
-    """Word (bytes) -> its number; by number its hash, what it adds to the base score (nan: rare), its level."""
-
-    def __init__(self, known: dict[bytes, float], look: Callable[[np.ndarray], np.ndarray] | None):
-        super().__init__()
-        self.known, self.look = known, look
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.new: list[tuple[int, float]] = []
-        self.hashes, self.logs, self.levels = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = len(self)
-        self.new.append((xxhash.xxh64_intdigest(word, 42), self.known.get(word, math.nan)))
-        return found
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self) >= MEMO:
-            self.forget()
-        found = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        if self.new:
-            hashes = np.array([h for h, _ in self.new], dtype=np.uint64)
-            self.hashes = np.concatenate((self.hashes, hashes))
-            self.logs = np.concatenate((self.logs, [x for _, x in self.new]))
-            if self.look:
-                self.levels = np.concatenate((self.levels, self.look(hashes)))
-            self.new = []
-        return found
-
-
-def score_frames(
-    look: Callable[[np.ndarray], np.ndarray] | None, known: dict[bytes, float], shape: Shape, extra: list[str]
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per text: its tokens, what the common words add to the base score, its rare words, its score."""
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(known, look)
-        start = np.uint64(xxhash.xxh64_intdigest(START.encode(), 42))
-        for frame in batches(frames, ROWS):
-            listed = [tokens_of(text) for text in frame["text"]]
-            if not listed:
-                continue
-            n = np.array(list(map(len, listed)))
-            first = np.concatenate(([0], np.cumsum(n)[:-1]))
-            tokens = [t for own in listed for t in own]
-            at = words.numbers(tokens)
-            logs = words.logs[at]
+def score_batches(
+    look: Callable[[np.ndarray], np.ndarray] | None, known: dict[str, float], shape: Shape, extra: list[str]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per text: its tokens, what the common words (``known``) add to the base score, its rare words, its score."""
+    def score(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = pa.array(list(known), pa.large_string())
+        # The last entry is that of words that are not common.
+        common_logs = np.append(np.fromiter(known.values(), dtype=np.float64, count=len(known)), math.nan)
+        common_levels = np.append(look(hashes_of(common)), 0) if look else None
+        for batch in slices(given):
+            words, at, n = coded(batch["text"])
+            first = np.cumsum(n) - n
+            spot = pc.fill_null(pc.index_in(words, value_set=common), len(known)).to_numpy()
+            logs = common_logs[spot][at]
             rare = np.isnan(logs)
             places = np.flatnonzero(rare)
-            unknown = [tokens[i].decode() for i in places.tolist()]
-            bounds = np.searchsorted(places, np.append(first, len(at))).tolist()
-            out = frame[extra].assign(
-                n_tokens=n, common_sum=np.add.reduceat(np.where(rare, 0.0, logs), first),
-                common=np.add.reduceat((~rare).astype(np.int64), first),
-                rare=[unknown[i:j] for i, j in zip(bounds, bounds[1:], strict=False)], score=0.0,
-            )
+            unknown = words.take(pa.array(at[places])).cast(pa.string())
+            bounds = np.searchsorted(places, np.append(first, len(at))).astype(np.int32)
+            scores = np.zeros(len(n))
             if look:
-                word, own = words.hashes[at], words.levels[at]
-                left = np.concatenate(([start], word[:-1]))
-                left[first] = start
+                hashes, level = hashes_of(words), common_levels[spot]
+                level[spot == len(known)] = look(hashes[spot == len(known)])
+                word, own = hashes[at], level[at]
+                left = before(word, first)
                 # What stands before the first word was seen once per text, as often as the end.
-                before = np.concatenate(([0], own[:-1]))
-                before[first] = own[-1]
-                out["score"] = np.add.reduceat(log_probability(look(pairs_of(left, word)), before, own, shape), first)
-            yield out
+                context = np.concatenate(([0], own[:-1]))
+                context[first] = own[-1]
+                scores = np.add.reduceat(log_probability(look(pairs_of(left, word)), context, own, shape), first)
+            found = {
+                "n_tokens": pa.array(n), "common_sum": pa.array(np.add.reduceat(np.where(rare, 0.0, logs), first)),
+                "common": pa.array(np.add.reduceat((~rare).astype(np.int64), first)),
+                "rare": pa.ListArray.from_arrays(pa.array(bounds), unknown), "score": pa.array(scores),
+            }
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in extra), *found.values()], [*extra, *found])
     return score
 
 
@@ -315,7 +386,7 @@ def lm_scores(
 
     listed = F.split(ascii_lower(F.col("text")), SPACE_RUN)
     word = F.explode(F.concat(listed, F.array(F.lit(END)))).alias("word")
-    counts = stored(train.select(word).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n")), "words")
+    counts = stored(train.select(word).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n")), "words", "zstd")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
     entries = stored(
@@ -332,7 +403,7 @@ def lm_scores(
 
     context = rows.sparkSession.sparkContext
     common = {
-        row["word"].encode(): math.log10(row["n"] + 1)
+        row["word"]: math.log10(row["n"] + 1)
         for row in counts.filter(F.col("n") * common_words >= total[0]).toLocalIterator()
     }
     sent_common, sent_bits = context.broadcast(common), None
@@ -348,11 +419,11 @@ def lm_scores(
         StructField("rare", ArrayType(StringType())), StructField("score", DoubleType()),
     ])
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = looked_up(sent_bits.value, shape.shards) if sent_bits else None
-        yield from score_frames(look, sent_common.value, shape, extra)(frames)
+        yield from score_batches(look, sent_common.value, shape, extra)(given)
 
-    scored = stored(rows.mapInPandas(score, schema), "scored")
+    scored = stored(rows.mapInArrow(score, schema), "scored", "zstd")
     rare = scored.select("doc_key", F.explode("rare").alias("word")).join(counts, "word").groupBy("doc_key").agg(
         F.sum(F.log10(F.col("n") + 1)).alias("rare_sum"), F.count("*").alias("rare_known")
     )

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,37 @@ def test_hash_is_that_of_spark(spark):
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
     own = B.Hashes()
     assert all(np.uint64(own[r["w"].encode()]).view(np.int64) == r["h"] for r in got)
+
+
+def test_columns_give_the_tokens_and_their_hashes():
+    rng = np.random.default_rng(2)
+    texts = ["", " ", "a\x0bb\x0cC \x85É\x1c d e ", "\n x", "x", "İ ǅ Σ Kelvin K"]
+    texts += [" ".join("aZé€😀_"[c] * (1 + i % 50) for c in rng.integers(0, 6, 40)) for i in range(120)]
+    given = pa.array(["é", "two words"] * 40 + texts).slice(80)
+    words, at, n = B.coded(given)
+    listed = [B.tokens_of(t) for t in texts]
+    own = [w.encode() for w in words.to_pylist()]
+    assert [own[i] for i in at] == [t for tokens in listed for t in tokens] and list(n) == list(map(len, listed))
+    assert B.hashes_of(words).tolist() == [B.Hashes()[w] for w in own] and max(map(len, own)) > 64
+    assert B.hashes_of(words.slice(3)).tolist() == B.hashes_of(words).tolist()[3:]
+    assert B.hashes_of(words.slice(0, 0)).tolist() == []
+
+
+def test_all_pairs_are_counted_in_slices(monkeypatch):
+    monkeypatch.setattr(B, "ROWS", 7)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"é{i} b c" for i in range(100)])], ["text"])
+    found = [B.coded(part["text"]) for part in B.slices(iter([batch, batch.slice(0, 0)]))]
+    assert sum(len(at) for _, at, _ in found) == 400 and sum(len(n) for _, _, n in found) == 100
+    own = [w for words, at, _ in found for w in words.take(pa.array(at)).to_pylist()]
+    assert own == [t for i in range(100) for t in (f"é{i}", "b", "c", "\n")]
+
+
+def test_a_row_brings_many_grams_to_a_shard(spark):
+    """Rows that meet at the shards do not grow with the grams."""
+    grams = spark.range(30_000).select(F.xxhash64("id").alias("gram"), F.lit(1).cast("long").alias("level")).coalesce(1)
+    sent = B.filter_shards(grams, 3)
+    assert sorted(r["shard"] for r in sent.collect()) == [0, 1, 2]
+    found = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sent.orderBy("shard").collect()])
+    own = np.array([r["gram"] for r in grams.collect()]).view(np.uint64)
+    assert (B.looked_up(found, 3)(own) >= 1).all()
+    assert "levels" in sent._jdf.queryExecution().analyzed().toString()
