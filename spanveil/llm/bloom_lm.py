@@ -7,7 +7,8 @@ smoothed towards word estimates.
 
 The filter is built in shards of fixed size, each by one task.  Its size follows the
 number of grams.  Up to ``broadcast_bytes`` it goes to every worker; beyond that the
-grams go to the shards instead, with the same answers.
+different grams of some megabytes of text go to the shards, one row for each, and one byte
+for each gram comes back, with the same answers.
 
 Exact word counts for the base score: words above a share of all tokens (at most
 ``1 / share`` of them) go to every worker, the others are joined by word.
@@ -24,12 +25,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from spanveil.llm.common import (
-    SPACE_RUN, ascii_lower, batches, cut, digest, kept, pick, restored, stored,
+    SPACE_RUN, ascii_lower, digest, kept, pick, restored, stored,
 )
 
 # The end of a text is a token that no word can equal; so is what stands before the first word.
@@ -49,6 +51,8 @@ XXH = tuple(map(np.uint64, (
 )))
 # Grams that go to the shards of the filter in one row per shard.
 SENT = 1 << 20
+# Bytes of text whose grams are told apart before they are sent.
+TEXT = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -116,6 +120,19 @@ def slices(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, ROWS)
 
 
+def gathered(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, so many in a batch that their ``text`` has ``TEXT`` bytes, if there are so many."""
+    held, size = [], 0
+    for part in slices(given):
+        held.append(part)
+        size += pc.sum(pc.binary_length(part["text"])).as_py()
+        if size >= TEXT:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different tokens of the texts, the place there of every token, how many each text has.
 
@@ -314,45 +331,76 @@ def score_batches(
     return score
 
 
+def asked_grams(texts: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different grams of some texts, by shard, and their shards; for every token where its pair and
+    its word are among them; the places of the first token of each text."""
+    words, at, n = coded(texts)
+    own, first = hashes_of(words), np.cumsum(n) - n
+    pair = pairs_of(before(own[at], first), own[at])
+    grams, place = np.unique(np.concatenate((pair, own)), return_inverse=True)
+    shard = shard_of(grams, shards)
+    order = np.argsort(shard, kind="stable")
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    place = back[place]
+    return grams[order], shard[order], place[:len(pair)], place[len(pair):][at], first
+
+
 def routed_scores(docs: DataFrame, shards: DataFrame, shape: Shape) -> DataFrame:
-    """``doc_key, routed``: the same scores, with the grams sent to the shards of the filter."""
-    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        start, end = (np.uint64(hashes[x.encode()]) for x in (START, END))
-        for frame in batches(frames, 32):
-            for key, text in zip(frame["doc_key"], frame["text"], strict=True):
-                tokens = tokens_of(text)
-                word = np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-                left = np.concatenate(([start], word[:-1]))
-                pair = pairs_of(left, word)
-                left[0] = end
-                yield pd.DataFrame({"doc_key": [key] * len(word), "pair": pair.view(np.int64),
-                                    "before": left.view(np.int64), "word": word.view(np.int64)})
+    """``doc_key, routed``: the same scores, with the grams sent to the shards of the filter.
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(shard=shard_of(frame["gram"].to_numpy().view(np.uint64), shape.shards))
+    Texts are stored in batches, each packed in one value, so that the levels which come back find the
+    grams in the same order.
+    """
+    def gather(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = TaskContext.get().partitionId() << 33
+        for i, batch in enumerate(gathered(given)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
+                out.write_batch(batch)
+            packed = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([begin + i]), packed], ["batch", "texts"])
+
+    def unpacked(texts: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(texts).read_next_batch()
+
+    def ask(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in given:
+            for batch, texts in zip(rows["batch"].to_pylist(), rows["texts"], strict=True):
+                grams, shard, *_ = asked_grams(unpacked(texts.as_py())["text"], shape.shards)
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)])).tolist()
+                parts = [grams[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard[edges[:-1]]), pa.array([batch] * len(parts)), pa.array(parts, pa.binary())],
+                    ["shard", "batch", "grams"],
+                )
 
     def probe(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         bits = np.frombuffer(own["bits"].iat[0], dtype=np.uint8) if len(own) else np.zeros(SHARD_BITS // 8, np.uint8)
-        keys = asked["gram"].to_numpy().view(np.uint64)
-        return pd.DataFrame({"gram": asked["gram"], "level": probed(bits, keys, np.zeros(len(keys), dtype=np.int64))})
-
-    @F.pandas_udf("double")
-    def logs(pair: pd.Series, before: pd.Series, word: pd.Series) -> pd.Series:
-        return pd.Series(log_probability(*(x.fillna(0).to_numpy().astype(np.int64) for x in (pair, before, word)), shape))
-
-    rows = stored(docs.select("doc_key", "text").mapInPandas(grams, "doc_key binary, pair long, before long, word long"), "grams")
-    asked = rows.select(F.explode(F.array("pair", "before", "word")).alias("gram")).distinct()
-    found = cut(
-        asked.mapInPandas(place, "gram long, shard long").groupBy("shard")
-        .cogroup(shards.groupBy("shard")).applyInPandas(probe, "gram long, level long").filter("level > 0")
-    )
-    for name in ("pair", "before", "word"):
-        rows = rows.join(found.select(F.col("gram").alias(name), F.col("level").alias(f"{name}_level")), name, "left")
-    return rows.select("doc_key", logs("pair_level", "before_level", "word_level").alias("log")).groupBy(
-        "doc_key"
-    ).agg(F.sum("log").alias("routed"))
+        grams = np.frombuffer(b"".join(asked["grams"]), dtype=np.uint64)
+        different, back = np.unique(grams, return_inverse=True)
+        levels = probed(bits, different, np.zeros(len(different), dtype=np.int64)).astype(np.uint8)[back]
+        ends = np.cumsum(asked["grams"].map(len).to_numpy() // 8).tolist()
+        return asked[["batch", "shard"]].assign(
+            levels=[levels[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)])
+
+    def score(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        batch = unpacked(texts["texts"].iat[0])
+        _, _, pair, word, first = asked_grams(batch["text"], shape.shards)
+        level = np.frombuffer(b"".join(found.sort_values("shard")["levels"]), dtype=np.uint8).astype(np.int64)
+        own = level[word]
+        context = np.concatenate(([0], own[:-1]))
+        context[first] = own[-1]
+        scores = np.add.reduceat(log_probability(level[pair], context, own, shape), first)
+        return pd.DataFrame({"doc_key": batch["doc_key"].to_pylist(), "routed": scores})
+
+    rows = stored(docs.select("doc_key", "text").mapInArrow(
+        gather, "batch long, texts binary"), "batches")
+    asked = rows.mapInArrow(ask, "shard long, batch long, grams binary")
+    levels = stored(asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(
+        probe, "batch long, shard long, levels binary").filter("batch is not null"), "levels", "zstd")
+    found = rows.groupBy("batch").cogroup(levels.groupBy("batch")).applyInPandas(score, "doc_key binary, routed double")
+    return stored(found.groupBy("doc_key").agg(F.sum("routed").alias("routed")), "routed")
 
 
 def lm_scores(

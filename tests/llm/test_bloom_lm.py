@@ -135,3 +135,32 @@ def test_a_row_brings_many_grams_to_a_shard(spark):
     own = np.array([r["gram"] for r in grams.collect()]).view(np.uint64)
     assert (B.looked_up(found, 3)(own) >= 1).all()
     assert "levels" in sent._jdf.queryExecution().analyzed().toString()
+
+
+def test_routed_grams_move_many_in_a_row(spark, monkeypatch):
+    """What is stored for the routed scores has a row for some texts and a shard, not one for each token."""
+    rng, rows, plain = np.random.default_rng(4), {}, B.stored
+
+    def noted(df, name, *more):
+        found = plain(df, name, *more)
+        rows[name] = found.count()
+        return found
+
+    monkeypatch.setattr(B, "stored", noted)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3_000, 300)), "en", "s", 1) for i in range(100)]
+    docs = documents(spark, texts + [(100, None, "en", "s", 1), (101, "", "en", "s", 1)])
+    want = collected(lm_scores(docs, F.col("doc_id") % 7 == 2), "doc_id", "score")
+    before = set(rows)
+    got = collected(lm_scores(docs, F.col("doc_id") % 7 == 2, broadcast_bytes=0), "doc_id", "score")
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+    assert set(rows) > before and max(rows[n] for n in set(rows) - before) <= 102
+    assert lm_scores(docs.limit(0), F.col("doc_id") % 7 == 2, broadcast_bytes=0).count() == 0
+
+
+def test_texts_are_gathered_by_bytes(monkeypatch):
+    monkeypatch.setattr(B, "ROWS", 3)
+    monkeypatch.setattr(B, "TEXT", 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["four"] * 50)], ["id", "text"])
+    found = list(B.gathered(iter([batch, batch.slice(0, 0), batch.slice(7)])))
+    assert [i for part in found for i in part["id"].to_pylist()] == [*range(50), *range(7, 50)]
+    assert all(5 <= part.num_rows <= 6 for part in found[:-1]) and list(B.gathered(iter([]))) == []
